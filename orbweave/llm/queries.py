@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.seen_keys import seen_before, seen_rates
 from orbweave.session import table
 
 
+def p2_found(spark, sf_dir):
+    """Lines that stand on a large share of a catalog's pages."""
+    return repeated_lines(table(spark, sf_dir, "crawler_resource")).select("id", "line_no")
+
+
+def p2_cleaned(spark, sf_dir):
+    """The pages without them."""
+    return without_repeated_lines(table(spark, sf_dir, "crawler_resource"))
+
+
 def p5_found(spark, sf_dir):
     """Pages whose (catalog_id, url) came before."""
     return seen_before(table(spark, sf_dir, "crawler_resource"))
@@ -16,7 +27,7 @@ def p5_rates(spark, sf_dir):
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_rates": p5_rates}
 
 SQL = {
     "p5_found": """
