@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from orbweave.llm.main_body import main_lines
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.seen_keys import seen_before, seen_rates
 from orbweave.session import table
@@ -17,6 +18,11 @@ def p2_cleaned(spark, sf_dir):
     return without_repeated_lines(table(spark, sf_dir, "crawler_resource"))
 
 
+def p3_found(spark, sf_dir):
+    """Lines of each page's main body."""
+    return main_lines(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
+
+
 def p5_found(spark, sf_dir):
     """Pages whose (catalog_id, url) came before."""
     return seen_before(table(spark, sf_dir, "crawler_resource"))
@@ -27,7 +33,7 @@ def p5_rates(spark, sf_dir):
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p5_found": p5_found, "p5_rates": p5_rates}
 
 SQL = {
     "p5_found": """
