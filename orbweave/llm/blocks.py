@@ -1,151 +1,147 @@
-"""Cut html into the units of template work: visible lines with the element they stand in."""
+"""Cut html into the units of template work: visible lines with the element they stand in.
+
+Most lines of a page are its site's template, so what a line holds (tags, text, hash) is parsed once and
+kept by its markup; a page then only replays the tags on a stack of open elements.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
+from typing import NamedTuple
 
 import xxhash
 
-from orbweave.llm.pagelines import BLANKS, blank_hidden
+from orbweave.llm.pagelines import BLANKS, HIDDEN, LONG_TAG
 
-_TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|\n|<[!?][^>]*>")
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'\s>]+(?:\s[^"'>]+)?)""", re.I)
 _BLOCK = frozenset(
     "html body div p ul ol li dl dt dd table thead tbody tr td th h1 h2 h3 h4 h5 h6 header footer nav aside main article"
     " section blockquote figure figcaption pre form fieldset address noscript".split()
 )
-_VOID = frozenset("br hr img input meta link source wbr area base col embed param track".split())
+_INLINE = frozenset(["span", "b", "font", "small"])
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_ENDED = _INLINE | _HEADING
+_RULE, _OPEN, _CLOSE = 0, 1, 2
+#: Lines whose parse is kept; a cache only, emptied when full.
+CACHED_LINES = 100_000
 
 
-class Unit:
-    """A visible line: its number, text, innermost element, and the heading that opens its section."""
+class Line(NamedTuple):
+    """What a line of markup holds: tags before its first text, the text, tags after, and facts about the text."""
 
-    __slots__ = ("line", "text", "leaf", "mark", "path", "head", "link")
+    before: tuple
+    text: str
+    after: tuple
+    item: int
+    kind: int
 
-    def __init__(self, line: int, text: str, leaf: int, mark: str, path: str, head: int, link: bool):
-        self.line, self.text, self.leaf, self.mark, self.path, self.head, self.link = line, text, leaf, mark, path, head, link
 
+def hashed(*parts: str) -> int:
+    """64 hash bits of some texts."""
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
-def page_units(html: str) -> list[Unit]:
-    """The units of a page in order.
 
-    `leaf` numbers the element instance, `mark` is tag.class of that element if it has a class or id, `path`
-    is the chain of block elements. `head` is the index of the unit that is the heading of the section the
-    unit stands in, -1 if none: a heading owns what follows it up to the next heading, rule or the end of
-    the element around it.
-    """
-    text = blank_hidden(html)
-    units: list[Unit] = []
-    # open elements: (tag, name with class, path, instance, is block, heading unit before it opened)
-    stack: list[tuple[str, str, str, int, bool, int]] = [("", "", "", 0, True, -1)]
-    inner = [False]  # by instance: has a block inside
-    line, at, count, head = 1, 0, 0, -1
+def _parse(line: str, kind: Callable[[str], int]) -> Line:
+    before: list[tuple] = []
+    after: list[tuple] = []
     parts: list[str] = []
-    leaf: tuple[str, str, str, int, bool, int] | None = None
-    linked = False
-    leading = False
-
-    def flush() -> None:
-        nonlocal parts, leaf, linked, head
-        if parts:
-            raw = "".join(parts)
-            parts = []
-            if "&" in raw:
-                raw = unescape(raw)
-            if "  " in raw or "\t" in raw or "\r" in raw:
-                raw = BLANKS.sub(" ", raw)
-            raw = raw.strip(" ")
-            if raw and leaf is not None:
-                tag = leaf[0]
-                if tag in _HEADING and (not units or units[-1].leaf != leaf[3]):
-                    head = len(units)
-                units.append(Unit(line, raw, leaf[3], leaf[1], leaf[2], head, linked))
-        leaf, linked = None, False
-
-    for m in _TOKEN.finditer(text):
-        start = m.start()
-        if start > at:
-            piece = text[at:start]
-            if piece.strip():
-                if leaf is None:
-                    leaf = stack[-1]
-                    linked = leading
-                parts.append(piece)
-            elif parts:
+    at = 0
+    for m in _TAG.finditer(line):
+        if m.start() > at:
+            piece = line[at : m.start()]
+            if parts or piece.strip():
                 parts.append(piece)
         at = m.end()
         name = m.group(2)
         if name is None:
-            if text[start] == "\n":
-                flush()
-                line += 1
             continue
         tag = name.lower()
-        broken = m.group(3).count("\n") if m.group(3) else 0
-        if broken:
-            flush()
-            line += broken
-        if tag == "a":
-            leading = not m.group(1)
-            continue
+        ops = after if parts else before
         if m.group(1):
-            if tag in _BLOCK or tag in ("span", "b", "font", "small", "i", "em", "strong"):
+            if tag in _BLOCK:
+                ops.append((_CLOSE, tag, "", False))
+        elif tag in _BLOCK:
+            # a body's class tells the kind of page, not the template
+            attr = _ATTR.search(m.group(3)) if m.group(3) and tag != "body" and tag != "html" else None
+            ops.append((_OPEN, tag, f"{tag}.{attr.group(1)}" if attr else tag, True))
+        elif tag == "hr":
+            ops.append((_RULE, "", "", False))
+        elif tag in _INLINE and not parts and m.group(3):
+            attr = _ATTR.search(m.group(3))
+            if attr:  # an inline element with a class that opens a line is an element of its own, to the line's end
+                ops.append((_OPEN, tag, f"{tag}.{attr.group(1)}", False))
+    if at < len(line):
+        parts.append(line[at:])
+    text = "".join(parts)
+    if text:
+        if "&" in text:
+            text = unescape(text)
+        if "  " in text or "\t" in text or "\r" in text:
+            text = BLANKS.sub(" ", text)
+        text = text.strip(" ")
+    return Line(tuple(before), text, tuple(after), hashed("e", text) & ~1 if text else 0, kind(text) if text else 0)
+
+
+def page_units(html: str, kind: Callable[[str], int], known: dict[str, Line]) -> list[tuple[int, Line, int, str, str, int]]:
+    """The units of a page in order: (line number, line, leaf, mark, path, head).
+
+    `leaf` numbers the innermost element's instance (below 0 where that element also holds blocks), `mark`
+    is its tag.class if it has a class, id or role and is a leaf, `path` the chain of block elements. `head`
+    is the index of the unit that is the heading of the section the unit stands in, -1 if none: a heading
+    owns what follows it up to the next heading, a rule or the end of the element around it.
+    """
+    text = HIDDEN.sub(lambda m: "\n" * m.group().count("\n"), html)
+    if LONG_TAG.search(text):
+        text = LONG_TAG.sub(lambda m: m.group().replace("\n", " ") + "\n" * m.group().count("\n"), text)
+    units: list[tuple[int, Line, int, str, str, int]] = []
+    # open elements: (tag, name with class, path, instance, is block, heading before it opened)
+    stack: list[tuple[str, str, str, int, bool, int]] = [("", "", "", 0, True, -1)]
+    inner = [False]  # by instance: has a block inside
+    count, head = 0, -1
+
+    def replay(ops: tuple) -> None:
+        nonlocal count, head
+        for op, tag, label, block in ops:
+            if op == _OPEN:
+                if tag == "p" or tag == "li":
+                    while len(stack) > 1 and (stack[-1][0] in ("p", "span", "b", "font", "small") or (tag == "li" and stack[-1][0] == "li")):
+                        stack.pop()
+                parent = stack[-1]
+                if block:
+                    inner[parent[3]] = True
+                count += 1
+                inner.append(False)
+                stack.append((tag, label if label != tag else "", f"{parent[2]}>{label}", count, block, head))
+            elif op == _CLOSE:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        if stack[k][4]:
-                            # the heading inside an element ends with the element
-                            if tag not in _HEADING:
-                                before = stack[k][5]
-                                if head != before:
-                                    flush_head = before
-                                    # text of the element is still pending on this line: write it with its own heading
-                                    if parts:
-                                        flush()
-                                    head = flush_head
+                        if tag not in _HEADING:  # a heading inside an element ends with the element
+                            head = stack[k][5]
                         del stack[k:]
                         break
-                    if stack[k][4] and tag not in _BLOCK:
-                        break
-            continue
-        if tag == "hr":
-            if parts:
-                flush()
-            head = -1 if len(stack) <= 2 else stack[-1][5]
-            continue
-        if tag in _VOID:
-            continue
-        block = tag in _BLOCK
-        if not block and tag not in ("span", "b", "font", "small"):
+            else:
+                head = -1 if len(stack) <= 3 else stack[-1][5]
+
+    for number, line in enumerate(text.split("\n"), 1):
+        if not line:
             continue
-        # a body's class tells the kind of page, not the template
-        attr = _ATTR.search(m.group(3)) if m.group(3) and tag != "body" and tag != "html" else None
-        label = f"{tag}.{attr.group(1)}" if attr else tag
-        if not block:
-            # inline elements count as elements of their own only where they open a line's text
-            if parts or not attr:
-                continue
-        if tag == "p" or tag == "li":
-            while len(stack) > 1 and stack[-1][0] in ("p", "span", "b", "font", "small") or (len(stack) > 1 and tag == "li" and stack[-1][0] == "li"):
-                del stack[-1]
-        if block:
-            inner[stack[-1][3]] = True
-        count += 1
-        inner.append(False)
-        stack.append((tag, label if attr else "", f"{stack[-1][2]}>{label}", count, block, head))
-    if at < len(text) and text[at:].strip():
-        if leaf is None:
+        held = known.get(line)
+        if held is None:
+            if len(known) >= CACHED_LINES:
+                known.clear()
+            held = known[line] = _parse(line, kind)
+        if held.before:
+            replay(held.before)
+        if held.text:
             leaf = stack[-1]
-        parts.append(text[at:])
-    flush()
-    for u in units:
-        if inner[u.leaf]:
-            u.mark = ""  # a container with blocks inside is no leaf
-            u.leaf = -u.line
-    return units
-
-
-def hashed(*parts: str) -> int:
-    """64 hash bits of some texts."""
-    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
+            if leaf[0] in _HEADING and (not units or units[-1][2] != leaf[3]):
+                head = len(units)
+            units.append((number, held, leaf[3], leaf[1], leaf[2], head))
+        if held.after:
+            replay(held.after)
+        while stack[-1][0] in _ENDED:  # spans and headings left open end with their line
+            stack.pop()
+    return [u if not inner[u[2]] else (u[0], u[1], -u[0], "", u[4], u[5]) for u in units]

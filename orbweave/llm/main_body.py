@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.blocks import hashed, page_units
+from orbweave.llm.blocks import Line, hashed, page_units
 from orbweave.llm.recurrence import by_site, recurring_items
-from orbweave.llm.residue_text import FILLER_SEEDS, PLACEHOLDER, TRACE, WORD, filler_share, quoted
+from orbweave.llm.residue_text import FILLER_SEEDS, HINT, PLACEHOLDER, TRACE, TRACE_HINT, WORD, filler_share, quoted
 from orbweave.session import durable
 
 #: A subtree is template if it is on 3 pages of its host or more and on this share of them, or on 2 and a tenth.
@@ -30,19 +29,15 @@ _ARRAYS = "items array<bigint>, shapes array<bigint>, paths array<bigint>, heads
 _PAGES = f"site bigint, doc bigint, page bigint, {_ARRAYS}"
 
 
-#: Elements that by their meaning hold no main content; their shape counts like that of an element with a class.
-_ASIDE = re.compile(r">(?:nav|aside|footer)\b")
-
-
 def residue_kind(text: str) -> int:
     """0 content, 1 nothing but placeholders, 2 filler, 3 a trace or error of a runtime."""
-    if PLACEHOLDER.search(text) and not WORD.search(PLACEHOLDER.sub("", text)):
+    if HINT.search(text) and PLACEHOLDER.search(text) and not WORD.search(PLACEHOLDER.sub("", text)):
         return 1
     lowered = text.lower()
     if "lorem" in lowered or "ipsum" in lowered or "dolor" in lowered or "amet" in lowered:
         if len(WORD.findall(text)) >= FILLER_WORDS and filler_share(text, FILLER_SEEDS) >= FILLER_SHARE:
             return 2
-    if len(text) < 200:
+    if len(text) < 200 and TRACE_HINT.search(text):
         m = TRACE.search(text)
         if m and not quoted(text, m.start(), m.end()):
             return 3
@@ -51,35 +46,42 @@ def residue_kind(text: str) -> int:
 
 def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(site, doc, page, html) to seven arrays over the page's visible lines."""
+    known: dict[str, Line] = {}
+    places: dict[str, tuple[int, int]] = {}
     for batch in batches:
         ends = [0]
         columns: list[list[int]] = [[] for _ in range(7)]
         items, shapes, paths, heads, lines, chars, residue = columns
-        known: dict[str, int] = {}
         for html in batch.column(3).to_pylist():
-            units = page_units(html)
+            units = page_units(html, residue_kind, known)
             i, n = 0, len(units)
             while i < n:
+                number, line, leaf, mark, path, head = units[i]
+                place = places.get(path)
+                if place is None:
+                    place = places[path] = (hashed(path), hashed("s", path) | 1)
+                shape = place[1] if mark or ">nav" in path or ">aside" in path or ">footer" in path else 0
                 j = i + 1
-                while j < n and units[j].leaf == units[i].leaf:
+                while j < n and units[j][2] == leaf:
                     j += 1
-                u = units[i]
-                text = u.text if j == i + 1 else "\n".join(x.text for x in units[i:j])
-                item = hashed("e", text) & ~1  # one text in p and in small is one subtree
-                shape = 0
-                if u.mark or _ASIDE.search(u.path):
-                    key = "s\x1f" + u.path
-                    shape = known.get(key) or known.setdefault(key, hashed("s", u.path) | 1)
-                path = known.get(u.path) or known.setdefault(u.path, hashed(u.path))
-                kind = residue_kind(text)
-                for x in units[i:j]:
-                    items.append(item)
+                if j == i + 1:
+                    items.append(line.item)
                     shapes.append(shape)
-                    paths.append(path)
-                    heads.append(x.head)
-                    lines.append(x.line)
-                    chars.append(len(x.text))
-                    residue.append(kind)
+                    paths.append(place[0])
+                    heads.append(head)
+                    lines.append(number)
+                    chars.append(len(line.text))
+                    residue.append(line.kind)
+                else:  # an element over several lines is one subtree
+                    text = "\n".join(x[1].text for x in units[i:j])
+                    size = j - i
+                    items.extend([hashed("e", text) & ~1] * size)
+                    shapes.extend([shape] * size)
+                    paths.extend([place[0]] * size)
+                    heads.extend(x[5] for x in units[i:j])
+                    lines.extend(x[0] for x in units[i:j])
+                    chars.extend(len(x[1].text) for x in units[i:j])
+                    residue.extend([residue_kind(text)] * size)
                 i = j
             ends.append(len(lines))
         offsets = pa.array(np.asarray(ends, dtype=np.int32))
@@ -90,7 +92,8 @@ def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             for k, c in enumerate(columns)
         ]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], ["site", "doc", "page", *"items shapes paths heads lines chars residue".split()])
+        names = ["site", "doc", "page", "items", "shapes", "paths", "heads", "lines", "chars", "residue"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names)
 
 
 def page_key(url):
@@ -200,7 +203,8 @@ def judged(left: DataFrame) -> DataFrame:
 def main_lines(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
     """Lines of each page's main body: (id, line_no int).
 
-    A subtree that recurs on many pages of a host, by text or by shape, is template; so is what a recurring
+    A subtree that recurs on many pages of a host, by text or by shape (elements with a class, and what stands
+    in nav, aside or footer), is template; so is what a recurring
     heading opens, and every element path whose lines are mostly template. Where what is left is chiefly an
     error message, filler or placeholders, there is no main body; otherwise all that is left counts, single
     placeholders included. Rows with null id or html, and pages without visible text, give no lines; a

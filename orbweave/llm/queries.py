@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orbweave.llm.main_body import main_lines
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
+from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
 from orbweave.session import table
 
@@ -28,12 +29,23 @@ def p5_found(spark, sf_dir):
     return seen_before(table(spark, sf_dir, "crawler_resource"))
 
 
+def p6_found(spark, sf_dir):
+    """Pages that show placeholders, filler, errors or demands for scripts where content should be."""
+    found = template_residue(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
+    return found.select("id").distinct()
+
+
+def p6_reasons(spark, sf_dir):
+    """The same with the reasons."""
+    return template_residue(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
+
+
 def p5_rates(spark, sf_dir):
     """Theoretical and audited false positives of the coded sets."""
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
 
 SQL = {
     "p5_found": """

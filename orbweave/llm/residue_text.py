@@ -18,6 +18,9 @@ PLACEHOLDER = re.compile(
     r"|(?<!\w)__[A-Za-z][\w.\-]*?__(?!\w)"
     r"|(?<![\w$#{%])\{(?:[A-Za-z_][\w.\-]*|\d{1,2})\}(?!\})"
 )
+#: Without one of these there is no placeholder, and no trace: cheap tests before the patterns.
+HINT = re.compile(r"[{\[@_%]")
+TRACE_HINT = re.compile(r"rror|xception|raceback|[Tt]race:|^\s*at |on line|Warning:|ORA-|fault")
 # Titles that authoring tools and scripts leave behind.
 DEFAULT_TITLES = frozenset(
     ["untitled", "untitled document", "untitled page", "new page", "new document", "page title", "title", "document",
