@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orbweave.llm.main_body import main_lines
+from orbweave.llm.mojibake import garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
@@ -24,6 +25,16 @@ def p3_found(spark, sf_dir):
     return main_lines(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
 
 
+def p4_found(spark, sf_dir):
+    """Titles and pages that hold wrongly decoded text."""
+    return garbled_fields(table(spark, sf_dir, "crawler_resource")).select("id", "field_name")
+
+
+def p4_restored(spark, sf_dir):
+    """The same with the original text, as far as it can be had."""
+    return garbled_fields(table(spark, sf_dir, "crawler_resource"), restore=True)
+
+
 def p5_found(spark, sf_dir):
     """Pages whose (catalog_id, url) came before."""
     return seen_before(table(spark, sf_dir, "crawler_resource"))
@@ -45,7 +56,7 @@ def p5_rates(spark, sf_dir):
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
+QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
 
 SQL = {
     "p5_found": """
