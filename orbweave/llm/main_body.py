@@ -22,6 +22,8 @@ SHAPE_SHARE = 0.1
 PATH_SHARE = 0.93
 #: A page with at most so many lines left is compared with the leftovers of other hosts' pages.
 THIN_LINES, ERROR_HOSTS = 6, 3
+#: A page with a single line left that is shorter than this has no main body: an article has a headline and a text.
+LONE_CHARS = 200
 #: Share of filler seeds from which a text is filler, and words it needs at least.
 FILLER_SHARE, FILLER_WORDS = 0.12, 5
 
@@ -195,7 +197,7 @@ def judged(left: DataFrame) -> DataFrame:
         "doc", "units",
         F.expr(f"{real}.line_no").alias("real_lines"),
         F.expr("rest.line_no").alias("lines"),
-        F.expr(total.format(real)).alias("content"),
+        F.expr(f"if(size(rest) = 1 and {total.format('rest')} < {LONE_CHARS}, 0, {total.format(real)})").alias("content"),
         F.expr(total.format("rest")).alias("all_chars"),
     )
 

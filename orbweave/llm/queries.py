@@ -7,6 +7,7 @@ from orbweave.llm.mojibake import garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
+from orbweave.llm.shared_spans import shared_amounts, shared_pairs
 from orbweave.session import table
 
 
@@ -56,7 +57,17 @@ def p5_rates(spark, sf_dir):
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons}
+def p9_found(spark, sf_dir):
+    """Pairs of documents that share 200 code points or more in one stretch."""
+    return shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_shared(spark, sf_dir):
+    """How much of each document also stands elsewhere."""
+    return shared_amounts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons, "p9_found": p9_found, "p9_shared": p9_shared}
 
 SQL = {
     "p5_found": """
