@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from orbweave.llm.containers import container_fill, pack, packing_summary
 from orbweave.llm.main_body import main_lines
+from orbweave.llm.mixing import mix
 from orbweave.llm.mojibake import garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
@@ -57,6 +59,35 @@ def p5_rates(spark, sf_dir):
     return seen_rates(table(spark, sf_dir, "crawler_resource"))
 
 
+def _packed(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
+def p7_packed(spark, sf_dir):
+    """Every document's place in the containers of each capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p7_containers(spark, sf_dir):
+    """The containers with the number of their items and their fill."""
+    return container_fill(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
+def p7_summary(spark, sf_dir):
+    """Containers used, fewest possible and mean fill by capacity."""
+    return packing_summary(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
+def p8_drawn(spark, sf_dir):
+    """Documents drawn for the mixture, with their copies."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark, sf_dir):
+    """Shares of the sources, wanted and reached."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark, sf_dir):
     """Pairs of documents that share 200 code points or more in one stretch."""
     return shared_pairs(table(spark, sf_dir, "documents"))
@@ -67,7 +98,27 @@ def p9_shared(spark, sf_dir):
     return shared_amounts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_reasons": p6_reasons, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        p2_found,
+        p2_cleaned,
+        p3_found,
+        p4_found,
+        p4_restored,
+        p5_found,
+        p5_rates,
+        p6_found,
+        p6_reasons,
+        p7_packed,
+        p7_containers,
+        p7_summary,
+        p8_drawn,
+        p8_shares,
+        p9_found,
+        p9_shared,
+    )
+}
 
 SQL = {
     "p5_found": """
