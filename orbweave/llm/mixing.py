@@ -14,6 +14,8 @@ from orbweave.session import durable
 
 #: Open records of one source that meet in one task of the reduction tree.
 FAN_IN = 64
+#: Records above 8 times their source's mean size are settled first, those above the mean next, the others last.
+SIZE_CLASSES = (8, 1)
 _STATE = "source string, doc bigint, tokens bigint, base int, p double, open boolean, node int"
 
 
@@ -87,6 +89,35 @@ def _source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None
     return can.withColumn("goal", goal).withColumn("rate", F.when(F.col("available") > 0, F.col("goal") / F.col("available")).otherwise(0.0)), total
 
 
+def _settle(records: DataFrame, seed: int) -> DataFrame:
+    """Whole copies for records with a rate: one pass over all tasks, then a tree over what stays open."""
+    state = (
+        records.withColumn("rate", F.least("rate", F.col("max_repeats").cast("double")))
+        .withColumn("base", F.least(F.floor("rate"), F.col("max_repeats")).cast("int"))
+        .withColumn("p", F.when(F.col("base") < F.col("max_repeats"), F.col("rate") - F.col("base")).otherwise(0.0))
+        .withColumn("open", (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12))
+        .withColumn("base", F.when(F.col("p") >= 1 - 1e-12, F.col("base") + 1).otherwise(F.col("base")).cast("int"))
+        .select("source", "doc", "tokens", "base", "p", "open", F.lit(0).alias("node"))
+        .sortWithinPartitions("source", F.desc("tokens"), "doc")
+    )
+    now = durable(state.mapInPandas(_rounder(seed, False), _STATE), "rounded")
+    settled = now.filter("not open")
+    while True:
+        left = now.filter("open")
+        most = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if not most:
+            return settled
+        groups = -(-most // FAN_IN)
+        gathered = (
+            left.withColumn("group", F.pmod("node", F.lit(groups)))
+            .repartition("source", "group")
+            .sortWithinPartitions("source", "group", F.desc("tokens"), "doc")
+            .select("source", "doc", "tokens", "base", "p", "open", "node")
+        )
+        now = durable(gathered.mapInPandas(_rounder(seed + groups, groups == 1), _STATE), "rounded")
+        settled = settled.unionByName(now.filter("not open"))
+
+
 def mix(
     rows: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", text: str = "text",
     total_tokens: int | None = None, seed: int = 17, vocabulary: str | None = None,
@@ -97,8 +128,8 @@ def mix(
     within its repeats, or `total_tokens`, if given; a source that then falls short gives all its repeats. A record
     of a source gets floor(rate) copies for sure and one more with the rest as probability. Pivotal rounding
     settles these: records are paired, expected size moves between them until one is whole; what stays open
-    goes up a tree of tasks. So a source's total differs from its goal by one record at most (a small one, as large ones settle first),
-    and no record is drawn more often than allowed. Sources without a target, and records without tokens, are not drawn; null
+    goes up a tree of tasks. Large records settle first and the rest make up for them, so a source's total misses
+    its goal by one record of at most mean size (where that is possible), and none is drawn more often than allowed. Sources without a target, and records without tokens, are not drawn; null
     sources and ids are left out; targets repeated for a source add up, with the least repeats. A source
     without records is reported with 0. Empty tables give empty results; extra columns are never read.
     """
@@ -106,28 +137,22 @@ def mix(
     sizes = durable(sizes.select(F.col(doc).alias("doc"), F.col(source).alias("source"), "tokens").filter("doc is not null and source is not null"), "token-sizes")
     rates, total = _source_rates(sizes, targets, total_tokens)
     rates = durable(rates, "source-rates")
-    state = (
-        sizes.filter("tokens > 0")
-        .join(rates.filter("rate > 0").select("source", "rate", "max_repeats"), "source")
-        .withColumn("base", F.least(F.floor("rate"), F.col("max_repeats")).cast("int"))
-        .withColumn("p", F.when(F.col("base") < F.col("max_repeats"), F.col("rate") - F.col("base")).otherwise(0.0))
-        .withColumn("open", (F.col("p") > 1e-12) & (F.col("p") < 1 - 1e-12))
-        .withColumn("base", F.when(F.col("p") >= 1 - 1e-12, F.col("base") + 1).otherwise(F.col("base")))
-        .select("source", "doc", "tokens", "base", "p", "open", F.lit(0).alias("node"))
+    # large records first: each class of sizes gets the rate that what is still missing asks for
+    mean = F.col("available") / F.col("documents")
+    wide = sum((F.when(F.col("tokens") <= F.lit(k) * mean, 1).otherwise(0) for k in SIZE_CLASSES), F.lit(0))
+    classed = durable(
+        sizes.filter("tokens > 0").join(rates.filter("goal > 0"), "source").select("source", "doc", "tokens", "max_repeats", wide.alias("class")),
+        "sized-records",
     )
-    # large records first: what is open at a task's end is then settled against small ones and small itself
-    state = state.sortWithinPartitions("source", F.desc("tokens"), "doc")
-    now = durable(state.mapInPandas(_rounder(seed, False), _STATE), "rounded")
-    settled = now.filter("not open")
-    while True:
-        left = now.filter("open")
-        most = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if not most:
-            break
-        groups = -(-most // FAN_IN)
-        gathered = left.withColumn("group", F.pmod("node", F.lit(groups))).repartition("source", "group").sortWithinPartitions("source", "group", F.desc("tokens"), "doc")
-        now = durable(gathered.select("source", "doc", "tokens", "base", "p", "open", "node").mapInPandas(_rounder(seed + groups, groups == 1), _STATE), "rounded")
-        settled = settled.unionByName(now.filter("not open"))
+    settled = None
+    for number in range(len(SIZE_CLASSES) + 1):
+        left = classed.filter(F.col("class") >= number).groupBy("source").agg(F.sum("tokens").alias("left"))
+        got = None if settled is None else settled.groupBy("source").agg(F.sum(F.col("tokens") * F.col("base")).alias("got"))
+        now = rates.select("source", "goal").join(left, "source")
+        now = now.withColumn("got", F.lit(0)) if got is None else now.join(got, "source", "left").na.fill(0, ["got"])
+        rate = now.select("source", F.greatest(F.lit(0.0), (F.col("goal") - F.col("got")) / F.col("left")).alias("rate"))
+        part = _settle(classed.filter(F.col("class") == number).join(rate, "source"), seed + 1000 * number)
+        settled = part if settled is None else settled.unionByName(part)
     drawn = settled.filter("base > 0").select("source", F.col("doc").alias(doc), "tokens", F.col("base").alias("copies"))
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("most_copies"))
     shares = rates.join(got, "source", "left").na.fill(0, ["drawn_tokens", "most_copies"])
