@@ -18,6 +18,7 @@ from orbweave.session import durable
 #: Sites on which a title has to recur, unexplained by the page itself, to count as a default.
 DEFAULT_SITES = 3
 _CODE = re.compile(r"<(code|samp|kbd)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+_SUFFIX = re.compile(r"\s+[-–—|:·]+\s+")
 _HINTS = ("{", "[", "@@", "%%", "__", "<%", "&lt;%", "&#", "&l", "&x")
 _FLAGS = "doc bigint, holder boolean, title string, chosen boolean, shown boolean"
 
@@ -39,7 +40,8 @@ def text_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = " ".join(title.split()) if title else ""
             holder.append(found)
             titles.append(name or None)
-            chosen.append(name.lower() not in DEFAULT_TITLES)
+            # sites often add their name behind a dash or a bar
+            chosen.append(name.lower() not in DEFAULT_TITLES and _SUFFIX.split(name)[0].lower() not in DEFAULT_TITLES)
             shown.append(bool(name) and name in bare)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(holder), pa.array(titles, pa.string()), pa.array(chosen), pa.array(shown)],
