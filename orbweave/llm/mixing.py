@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.tokens import token_sizes
@@ -156,8 +156,8 @@ def mix(
     drawn = settled.filter("base > 0").select("source", F.col("doc").alias(doc), "tokens", F.col("base").alias("copies"))
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("most_copies"))
     shares = rates.join(got, "source", "left").na.fill(0, ["drawn_tokens", "most_copies"])
-    whole = shares.agg(F.sum("drawn_tokens").alias("whole"))
-    shares = shares.crossJoin(whole).select(  # one row
+    everything = Window.partitionBy(F.lit(0))  # one row a target
+    shares = shares.withColumn("whole", F.sum("drawn_tokens").over(everything)).select(
         "source", "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"),
         F.round("goal").cast("bigint").alias("goal_tokens"), "drawn_tokens", "most_copies",
         F.when(F.col("whole") > 0, F.round(F.col("drawn_tokens") / F.col("whole"), 6)).otherwise(0.0).alias("actual_share"),

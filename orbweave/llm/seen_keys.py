@@ -112,20 +112,19 @@ def seen_rates(rows: DataFrame, keys: Sequence[str] = ("catalog_id", "url"), ord
     new = flagged.join(earliest, "first", "left_semi")
     held = (
         flagged.groupBy("shard")
-        .agg(F.max(F.struct("epoch", "held_bits", F.col("bound"))).alias("x"))
-        .agg(F.sum("x.held_bits").alias("held_bits"))
+        .agg(F.max(F.struct("epoch", "held_bits")).alias("x"))
+        .agg(F.coalesce(F.sum("x.held_bits"), F.lit(0)).alias("held_bits"))
     )
-    return (
-        new.agg(
-            F.count("*").alias("probes_of_new_keys"),
-            F.count_if("maybe").alias("false_positives"),
-            F.round(F.coalesce(F.avg("bound"), F.lit(0.0)), 9).alias("theoretical_rate"),
-        )
-        .crossJoin(held)  # two single rows
-        .select(
-            "probes_of_new_keys", "false_positives",
-            F.coalesce(F.col("false_positives") / F.nullif("probes_of_new_keys", F.lit(0)), F.lit(0.0)).alias("audited_rate"),
-            "theoretical_rate",
-            F.coalesce(F.round(F.col("held_bits") / F.nullif("probes_of_new_keys", F.lit(0)), 3), F.lit(0.0)).alias("bits_per_key"),
-        )
+    probed = new.agg(
+        F.count("*").alias("probes"), F.count_if("maybe").alias("wrong"), F.coalesce(F.avg("bound"), F.lit(0.0)).alias("bound")
+    )
+    none = F.lit(None).cast("bigint")
+    both = probed.select("probes", "wrong", "bound", none.alias("held_bits")).unionByName(
+        held.select(none.alias("probes"), none.alias("wrong"), F.lit(None).cast("double").alias("bound"), "held_bits")
+    )
+    one = both.agg(F.max("probes").alias("probes"), F.max("wrong").alias("wrong"), F.max("bound").alias("bound"), F.max("held_bits").alias("held_bits"))
+    per = lambda c: F.coalesce(F.col(c) / F.nullif("probes", F.lit(0)), F.lit(0.0))
+    return one.select(
+        F.col("probes").alias("probes_of_new_keys"), F.col("wrong").alias("false_positives"), per("wrong").alias("audited_rate"),
+        F.round("bound", 9).alias("theoretical_rate"), F.round(per("held_bits"), 3).alias("bits_per_key"),
     )
