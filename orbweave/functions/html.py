@@ -58,6 +58,10 @@ class _Page(HTMLParser):
             href = dict(attrs).get("href")
             if href and href.strip():
                 self.links.append(href.strip())
+        self._part(tag)
+
+    def _part(self, tag: str) -> None:
+        """Words part where a block begins or ends."""
         if tag not in ("b", "i", "em", "strong", "span", "a", "font", "code", "u", "small"):
             self.text.append(" ")
 
@@ -66,6 +70,7 @@ class _Page(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "title":
             self.in_title = 0
+        self._part(tag)
 
     def handle_data(self, data: str) -> None:
         if self.in_title:

@@ -8,7 +8,7 @@ anti-join on the four values that identify a path.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from time import monotonic
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +18,11 @@ from orbweave.functions import html, urls
 from orbweave.operators import accept
 from orbweave.operators.counters import run_counters
 from orbweave.operators.dedup import KEYS, UNIQUE, first_of_key, unseen
-from orbweave.schemas import COUNTERS
+from orbweave.schemas import COUNTERS, RESOURCE
 from orbweave.session import durable
 
+#: Levels after which the tables of seen paths are written as one.
+COMPACT_LEVELS = 8
 #: Path, identity and outcome of every packet; links that were turned away have outcome FILTERED.
 LOG = "catalog_id bigint, refer string, path string, version int, action string, level int, outcome string"
 
@@ -34,7 +36,6 @@ class CrawlResult:
     log: DataFrame
     levels: int
     stopped: str = ""
-    extra: dict[str, DataFrame] = field(default_factory=dict)
 
     def counters(self) -> DataFrame:
         """Run counters per (catalog_id, version)."""
@@ -129,12 +130,13 @@ def crawl(
     """
     spark = start.sparkSession
     began = monotonic()
-    frontier = start.select("action", "catalog_id", "refer", "path", "cat", "version", "level")
-    known = visited.select(*KEYS) if visited is not None else spark.createDataFrame([], "catalog_id bigint, refer string, path string, version int")
-    walked = known.limit(0)
-    stored, logs = [], []
+    frontier = start.select("action", "catalog_id", "refer", "path", "cat", "version")
+    nothing = spark.createDataFrame([], "catalog_id bigint, refer string, path string, version int")
+    known = [visited.select(*KEYS) if visited is not None else nothing]
+    walked: list[DataFrame] = [nothing]
+    stored: list[DataFrame] = []
+    logs: list[DataFrame] = []
     level, stopped = 0, ""
-    saved_all: DataFrame | None = None
     while level < max_levels:
         if budget and budget.interrupted():
             stopped = "interrupted"
@@ -143,41 +145,53 @@ def crawl(
             stopped = "duration"
             break
         if budget and budget.counter == COUNTERS[0] and budget.most is not None and logs:
-            frontier = durable(_trim_to_budget(frontier, run_counters(_union(logs)), budget), "frontier")
-        distinct = frontier.groupBy(*KEYS).agg(F.max_by(F.struct("action", "cat", "level"), F.when(F.col("action") == "crawl", 1).otherwise(0)).alias("x"), F.count("*").alias("copies"))
-        distinct = distinct.select(*KEYS, "x.action", "x.cat", "x.level", "copies")
-        old = distinct.join(known.withColumn("_seen", F.lit(True)), list(KEYS), "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+            frontier = _trim_to_budget(frontier, run_counters(_union(logs)), budget)
+        crawls = F.when(F.col("action") == "crawl", 1).otherwise(0)
+        old = (
+            frontier.groupBy(*KEYS)
+            .agg(F.max_by(F.struct("action", "cat"), crawls).alias("x"), F.count("*").alias("copies"))
+            .select(*KEYS, "x.action", "x.cat", "copies")
+            .join(_union(known).withColumn("_seen", F.lit(True)), list(KEYS), "left")
+            .join(_union(walked).withColumn("_walked", F.lit(True)), list(KEYS), "left")
+            .withColumns({"_seen": F.coalesce("_seen", F.lit(False)), "_walked": F.coalesce("_walked", F.lit(False))})
+        )
+        old = durable(old, "crawl-paths")
         # an update walks on through seen pages, but through each of them once
-        go = old.filter(~F.col("_seen") | (F.col("action") == "update")).join(walked, list(KEYS), "left_anti")
-        hit = fetch(go, pages).withColumn("html", rewritten(F.col("html"), list(rewriters)))
-        text = html.body_text(F.col("html"))
-        step = durable(hit.withColumns({"missing": F.col("html") == "", "blank": text == ""}), "crawl-step")
+        going = (~F.col("_seen") | (F.col("action") == "update")) & ~F.col("_walked")
+        hit = fetch(old.filter(going), pages).withColumn("html", rewritten(F.col("html"), list(rewriters)))
+        step = durable(hit.withColumns({"missing": F.col("html") == "", "blank": html.body_text(F.col("html")) == ""}), "crawl-step")
         ok = step.filter("not missing and not blank")
         new = ok.filter("not _seen").select(
             F.xxhash64("catalog_id", "path", "version").alias("id"), html.title(F.col("html")).alias("title"), "html", F.col("path").alias("url"),
-            "cat", F.col("version"), "catalog_id", F.col("refer"),
+            "cat", "version", "catalog_id", "refer",
         )
         marked = first_of_key(new)
-        if saved_all is not None:
-            marked = marked.join(saved_all.select(*UNIQUE).withColumn("_had", F.lit(True)), list(UNIQUE), "left").withColumn("is_saved", F.col("is_saved") & F.col("_had").isNull()).drop("_had")
+        if stored:
+            had = _union(stored).select(*UNIQUE).withColumn("_had", F.lit(True))
+            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in UNIQUE]
+            marked = marked.alias("n").join(had.alias("h"), same, "left").select("n.*", "_had")
+            marked = marked.withColumn("is_saved", F.col("is_saved") & F.col("_had").isNull()).drop("_had")
         marked = durable(marked, "crawl-saved")
         stored.append(marked.filter("is_saved").drop("is_saved", "refer"))
-        saved_all = _union(stored)
-        links = durable(outgoing(ok.withColumn("action", F.when(F.col("_seen"), F.col("action")).otherwise("crawl")), details, resolve_links, robots), "crawl-links")
-        logs.append(durable(_log(frontier, old, step, marked, links, level), "crawl-log"))
-        known = durable(known.unionByName(old.filter("not _seen").select(*KEYS)), "visited")
-        walked = durable(walked.unionByName(go.select(*KEYS)), "walked")
-        following = links.filter("accepted").select("action", "catalog_id", "refer", "path", "cat", "version", F.lit(level + 1).alias("level"))
+        follow = ok.withColumns({"action": F.when(F.col("_seen"), F.col("action")).otherwise("crawl"), "level": F.lit(level)})
+        links = durable(outgoing(follow, details, resolve_links, robots), "crawl-links")
+        logs.append(_log(old, step, marked, links, level))
+        known.append(old.filter("not _seen").select(*KEYS))
+        walked.append(old.filter(going).select(*KEYS))
+        if len(known) > COMPACT_LEVELS:
+            known, walked = [durable(_union(known), "visited")], [durable(_union(walked), "walked")]
+        frontier = links.filter("accepted").select("action", "catalog_id", "refer", "path", "cat", "version")
         level += 1
         if budget and budget.counter and budget.most is not None:
             spent = run_counters(_union(logs)).filter(F.col(budget.counter.lower()) <= budget.most).select("catalog_id", "version")
-            following = following.join(spent, ["catalog_id", "version"], "left_semi")
-        frontier = durable(following, "frontier")
+            frontier = frontier.join(spent, ["catalog_id", "version"], "left_semi")
         if frontier.isEmpty():
             break
     else:
         stopped = "levels"
-    return CrawlResult(saved_all if saved_all is not None else start.limit(0), known, _union(logs), level, stopped)
+    log = _union(logs) if logs else spark.createDataFrame([], LOG)
+    saved = _union(stored) if stored else spark.createDataFrame([], RESOURCE).drop("create_time")
+    return CrawlResult(saved, _union(known), log, level, stopped)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -187,18 +201,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _log(frontier: DataFrame, old: DataFrame, step: DataFrame, marked: DataFrame, links: DataFrame, level: int) -> DataFrame:
+def _log(old: DataFrame, step: DataFrame, marked: DataFrame, links: DataFrame, level: int) -> DataFrame:
     """Outcome rows of one level: totals, existing, invalid, saved, indexed, filtered."""
     base = ["catalog_id", "refer", "path", "version", "action"]
-    total = frontier.select(*base, F.lit(COUNTERS[0]).alias("outcome"))
-    copies = old.filter("copies > 1").withColumn("k", F.explode(F.sequence(F.lit(2), F.col("copies").cast("int")))).select(*base, F.lit(COUNTERS[2]).alias("outcome"))
-    seen = old.filter("_seen").select(*base, F.lit(COUNTERS[2]).alias("outcome"))
+    # every packet of a path counts; all but the first of a new path exist already
+    total = old.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    existing = total.filter("_seen or k > 1").select(*base, F.lit(COUNTERS[2]).alias("outcome"))
     invalid = step.filter("missing").select(*base, F.lit(COUNTERS[1]).alias("outcome"))
     pages = marked.select("catalog_id", "refer", F.col("url").alias("path"), "version", F.lit("crawl").alias("action"), "is_saved")
     saved = pages.filter("is_saved").select(*base, F.explode(F.array(F.lit(COUNTERS[4]), F.lit(COUNTERS[5]))).alias("outcome"))
     taken = pages.filter("not is_saved").select(*base, F.lit(COUNTERS[2]).alias("outcome"))
     filtered = links.filter("not accepted").select(*base, F.lit(COUNTERS[3]).alias("outcome"))
-    return _union([total, copies, seen, invalid, saved, taken, filtered]).withColumn("level", F.lit(level))
+    parts = [total.select(*base, F.lit(COUNTERS[0]).alias("outcome")), existing, invalid, saved, taken, filtered]
+    return _union(parts).withColumn("level", F.lit(level))
 
 
 def partitioned(frontier: DataFrame, parts: int) -> DataFrame:
