@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from orbweave.llm.tokens import token_sizes
 from orbweave.session import durable
 
-#: Steps of the grid on which patterns are enumerated; buckets over which items of one length are ranked.
-GRID, RANK_BUCKETS = 256, 64
+#: Steps of the grid on which patterns are enumerated; least buckets over which items of one length are ranked,
+#: and records from which there are more of them.
+GRID, RANK_BUCKETS, BUCKET_ROWS = 256, 64, 200_000
 
 
 def patterns_of(grid: int) -> np.ndarray:
@@ -228,7 +229,8 @@ def pack(
         .withColumn("part", F.explode(F.sequence(F.lit(0), cut)))
         .withColumn("tokens", F.expr("least(capacity, size - part * capacity)"))
     )
-    bucket = F.pmod(F.xxhash64("doc", "part"), F.lit(RANK_BUCKETS)).cast("int")
+    buckets = max(RANK_BUCKETS, sizes.count() // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64("doc", "part"), F.lit(buckets)).cast("int")
     counted = durable(items.groupBy("spec_id", "tokens", bucket.alias("bucket")).agg(F.count("*").alias("n")), "length-counts")
     before = Window.partitionBy("spec_id", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.blocks import Line, hashed, page_units
+from orbweave.llm.pagelines import visible_lines
 from orbweave.llm.recurrence import by_site, recurring_items
 from orbweave.llm.residue_text import FILLER_SEEDS, HINT, PLACEHOLDER, TRACE, TRACE_HINT, WORD, filler_share, quoted
 from orbweave.session import durable
@@ -27,6 +28,7 @@ LONE_CHARS = 200
 #: Share of filler seeds from which a text is filler, and words it needs at least.
 FILLER_SHARE, FILLER_WORDS = 0.12, 5
 
+_PARAGRAPHS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd figcaption blockquote pre address".split())
 _ARRAYS = "items array<bigint>, shapes array<bigint>, paths array<bigint>, heads array<int>, lines array<int>, chars array<int>, residue array<int>"
 _PAGES = f"site bigint, doc bigint, page bigint, {_ARRAYS}"
 
@@ -49,7 +51,7 @@ def residue_kind(text: str) -> int:
 def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(site, doc, page, html) to seven arrays over the page's visible lines."""
     known: dict[str, Line] = {}
-    places: dict[str, tuple[int, int]] = {}
+    places: dict[str, tuple[int, int, bool]] = {}
     for batch in batches:
         ends = [0]
         columns: list[list[int]] = [[] for _ in range(7)]
@@ -61,10 +63,12 @@ def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, line, leaf, mark, path, head = units[i]
                 place = places.get(path)
                 if place is None:
-                    place = places[path] = (hashed(path), hashed("s", path) | 1)
-                shape = place[1] if mark or ">nav" in path or ">aside" in path or ">footer" in path else 0
+                    tag = path.rpartition(">")[2].partition(".")[0]
+                    place = places[path] = (hashed(path), hashed("s", path), tag in _PARAGRAPHS)
+                # shapes of elements with a class end in a 1 bit, those of what stands in nav, aside or footer do not
+                shape = place[1] | 1 if mark else place[1] & ~1 if ">nav" in path or ">aside" in path or ">footer" in path else 0
                 j = i + 1
-                while j < n and units[j][2] == leaf:
+                while place[2] and j < n and units[j][2] == leaf:
                     j += 1
                 if j == i + 1:
                     items.append(line.item)
@@ -74,7 +78,7 @@ def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines.append(number)
                     chars.append(len(line.text))
                     residue.append(line.kind)
-                else:  # an element over several lines is one subtree
+                else:  # a paragraph over several lines is one subtree
                     text = "\n".join(x[1].text for x in units[i:j])
                     size = j - i
                     items.extend([hashed("e", text) & ~1] * size)
@@ -111,15 +115,21 @@ def host_of(url):
 
 
 def page_arrays(rows: DataFrame, catalogs: DataFrame | None) -> DataFrame:
-    """Units of all pages with html, written once. The site is the host of the catalog, else of the page."""
+    """Units of all pages with html, written once. The site is the page's host, without url that of its catalog.
+
+    Only the few rows without a url meet the catalogs, so html is not shuffled.
+    """
     source = rows.select("id", "html", "url", "catalog_id").filter("id is not null and html is not null")
+    own = host_of(F.col("url"))
+    known = source.filter(own.isNotNull()).withColumn("host", own)
+    homeless = source.filter(own.isNull())
     if catalogs is not None:
         sites = catalogs.select(F.col("id").alias("catalog_id"), host_of(F.col("url")).alias("host")).groupBy("catalog_id").agg(F.min("host").alias("host"))
-        source = source.join(sites, "catalog_id", "left")
+        homeless = homeless.join(sites, "catalog_id", "left").select("id", "html", "url", "catalog_id", "host")
     else:
-        source = source.withColumn("host", F.lit(None).cast("string"))
-    site = F.xxhash64(F.coalesce("host", host_of(F.col("url")), F.col("catalog_id").cast("string"), F.lit("")))
-    source = source.select(
+        homeless = homeless.withColumn("host", F.lit(None).cast("string"))
+    site = F.xxhash64(F.coalesce("host", F.col("catalog_id").cast("string"), F.lit("")))
+    source = known.unionByName(homeless).select(
         site.alias("site"), F.col("id").cast("bigint").alias("doc"), F.coalesce(page_key(F.col("url")), F.xxhash64("id")).alias("page"), "html"
     )
     return durable(source.mapInArrow(unit_arrays, _PAGES), "page-units")
@@ -217,3 +227,26 @@ def main_lines(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
     left = durable(leftovers(pages, site_templates(pages)), "page-rest")
     kept = judged(left).filter("2 * content > all_chars")
     return kept.select(F.col("doc").alias("id"), F.explode("lines").alias("line_no"))
+
+
+def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for html, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            keep = set(wanted or ())
+            texts.append("\n".join(text for number, text in visible_lines(html) if number in keep))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+
+def main_texts(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
+    """(id, text): the visible text of each page's main body, line by line; pages without one are left out."""
+    lines = main_lines(rows, catalogs).groupBy("id").agg(F.collect_set("line_no").alias("lines"))
+    pages = rows.select(F.col("id").cast("bigint").alias("id"), "html").filter("id is not null and html is not null")
+    return pages.join(lines, "id").select("id", "html", "lines").mapInArrow(_line_texts, "id bigint, text string")
+
+
+def main_contents(docs: DataFrame, rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
+    """(id, content): search documents with nothing but their page's main body, on one line; null without one."""
+    texts = main_texts(rows, catalogs).groupBy("id").agg(F.max("text").alias("text"))
+    joined = docs.select(F.col("id").cast("bigint").alias("id")).filter("id is not null").join(texts, "id", "left")
+    return joined.select("id", F.regexp_replace("text", r"\s+", " ").alias("content"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from orbweave.llm.containers import container_fill, pack, packing_summary
-from orbweave.llm.main_body import main_lines
+from orbweave.llm.main_body import main_contents, main_lines, main_texts
 from orbweave.llm.mixing import mix
 from orbweave.llm.mojibake import garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
@@ -28,6 +28,17 @@ def p3_found(spark, sf_dir):
     return main_lines(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
 
 
+def p3_texts(spark, sf_dir):
+    """The main body's text of each page."""
+    return main_texts(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
+
+
+def p3_contents(spark, sf_dir):
+    """Search documents with the main body only."""
+    pages, catalogs = table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog")
+    return main_contents(table(spark, sf_dir, "indexed_resource"), pages, catalogs)
+
+
 def p4_found(spark, sf_dir):
     """Titles and pages that hold wrongly decoded text."""
     return garbled_fields(table(spark, sf_dir, "crawler_resource")).select("id", "field_name")
@@ -104,6 +115,8 @@ QUERIES = {
         p2_found,
         p2_cleaned,
         p3_found,
+        p3_texts,
+        p3_contents,
         p4_found,
         p4_restored,
         p5_found,

@@ -17,9 +17,13 @@ SALTS = 8
 
 
 def by_site(pages: DataFrame, lists: DataFrame, how: str = "inner", site: str = "site", key: str = "page") -> DataFrame:
-    """Join pages with one row per site, hot sites spread over salts."""
+    """Join pages with one row per site, hot sites spread over salts.
+
+    The salt also counts the input partition, so rows that are alike in everything do not meet in one task either.
+    """
     salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("_salt", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [site, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(SALTS)) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    return pages.withColumn("_salt", salt).join(salted, [site, "_salt"], how).drop("_salt")
 
 
 def recurring_items(pages: DataFrame, least: int, share: float | None = None, condition: Column | None = None) -> DataFrame:
