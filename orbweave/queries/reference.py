@@ -151,10 +151,10 @@ def c4_default_pattern(spark, d):
     return _catalog(spark, d).select("id", F.coalesce(F.when(F.trim("path_pattern") != "", F.col("path_pattern")), default).alias("pattern"), default.alias("default_pattern"))
 
 
-@query("SELECT id, CASE WHEN p = url || '/' THEN url ELSE p END AS path FROM (SELECT id, url, CASE WHEN id % 2 = 0 THEN url || '/' ELSE coalesce(start_url, url) END AS p FROM crawler_catalog)")
+@query("SELECT id, CASE WHEN p = url || '/' THEN url ELSE p END AS path FROM (SELECT id, url, coalesce(start_url, url || '/') AS p FROM crawler_catalog)")
 def c5_closing_slash(spark, d):
     """The site's root with a slash."""
-    p = F.when(F.col("id") % 2 == 0, F.concat("url", F.lit("/"))).otherwise(F.coalesce("start_url", "url"))
+    p = F.coalesce("start_url", F.concat("url", F.lit("/")))
     return _catalog(spark, d).select("id", urls.without_closing_slash(p, F.col("url")).alias("path"))
 
 
@@ -261,12 +261,12 @@ def c20_search_result(spark, d):
 
 
 def _robots_files(spark, d):
-    kind = F.element_at(F.array(F.lit("User-agent: *\nDisallow: /news\nAllow: /news/a"), F.lit("User-agent: *\nDisallow: /*.html$\n"), F.lit("# nothing here")), (F.col("id") % 3 + 1).cast("int"))
+    kind = F.when(F.col("cat") == "blog", "User-agent: *\nDisallow: /news\nAllow: /news/a").when(F.col("cat") == "travel", "User-agent: *\nDisallow: /*.html$\n").otherwise("# nothing here")
     return _catalog(spark, d).withColumn("host", urls.host(F.col("url"))).groupBy("host").agg(F.min_by(kind, "id").alias("content"))
 
 
-@query(f"""WITH f AS (SELECT host, k FROM (SELECT {_HOST_SQL.format('url')} AS host, id % 3 AS k, row_number() OVER (PARTITION BY {_HOST_SQL.format('url')} ORDER BY id) AS n FROM crawler_catalog) WHERE n = 1)
-SELECT r.id, CASE WHEN k = 0 THEN NOT starts_with(p, '/news') OR starts_with(p, '/news/a') WHEN k = 1 THEN NOT regexp_matches(p, '\\.html$') ELSE true END AS allowed
+@query(f"""WITH f AS (SELECT host, k FROM (SELECT {_HOST_SQL.format('url')} AS host, cat AS k, row_number() OVER (PARTITION BY {_HOST_SQL.format('url')} ORDER BY id) AS n FROM crawler_catalog) WHERE n = 1)
+SELECT r.id, CASE WHEN k = 'blog' THEN NOT starts_with(p, '/news') OR starts_with(p, '/news/a') WHEN k = 'travel' THEN NOT regexp_matches(p, '\\.html$') ELSE true END AS allowed
 FROM (SELECT id, {_HOST_SQL.format('url')} AS host, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1), ''), '/') AS p FROM crawler_resource WHERE url IS NOT NULL) r LEFT JOIN f ON f.host = r.host""")
 def p1_robots(spark, d):
     """Robots rules by host, longest match first."""
@@ -297,13 +297,13 @@ def p3_path_patterns(spark, d):
     return rows.select("id", accept.path_accepted(F.col("url"), F.col("refer"), F.col("i"), F.col("e")).alias("accepted"))
 
 
-@query("""SELECT catalog_id, refer, path, version FROM (SELECT DISTINCT r.catalog_id, c.url AS refer, r.url AS path, r.version FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id WHERE r.id % 2 = 0 AND r.url IS NOT NULL)
-EXCEPT SELECT DISTINCT r.catalog_id, c.url, r.url, r.version FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id WHERE r.id % 2 = 1 AND r.url IS NOT NULL""")
+@query("""WITH t AS (SELECT r.id, r.catalog_id, c.url AS refer, r.url AS path, r.version FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id WHERE r.url IS NOT NULL)
+SELECT DISTINCT catalog_id, refer, path, version FROM t EXCEPT SELECT catalog_id, refer, path, version FROM t WHERE id IN (SELECT id FROM indexed_resource)""")
 def p5_seen_before(spark, d):
-    """New paths among the arrivals of even ids, those of odd ids having been visited."""
+    """New paths among all arrivals, those of indexed pages having been visited."""
     refer = _catalog(spark, d).select(F.col("id").alias("catalog_id"), F.col("url").alias("refer"))
     rows = _resource(spark, d).filter("url is not null").join(refer, "catalog_id").select("id", "catalog_id", "refer", F.col("url").alias("path"), "version")
-    return dedup.unseen(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")).select(*dedup.KEYS)
+    return dedup.unseen(rows, rows.join(_docs(spark, d).select("id"), "id", "left_semi")).select(*dedup.KEYS)
 
 
 @query(f"SELECT id FROM crawler_resource WHERE html IS NOT NULL AND length({_BODY_SQL}) > 0")
@@ -629,12 +629,12 @@ def v8_delete_catalog(spark, d):
     return catalogs.without_catalog(_catalog(spark, d), 1001, "id").select("id")
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'N' || id ELSE name END AS name, url, CASE WHEN id % 3 = 0 THEN CAST(9 AS SMALLINT) ELSE depth END AS depth FROM crawler_catalog
+@query("""SELECT id, CASE WHEN running_state = 'crawl' THEN 'N' || id ELSE name END AS name, url, CASE WHEN running_state = 'crawl' THEN CAST(9 AS SMALLINT) ELSE depth END AS depth FROM crawler_catalog
 UNION ALL SELECT id + 1000000, 'new', 'http://new.example', 9 FROM crawler_catalog WHERE id = 1001""")
 def v9_save_catalogs(spark, d):
     """Upsert of catalogs: non-null fields win, new ones are added."""
     rows = _catalog(spark, d)
-    changes = rows.filter("id % 3 = 0").select("id", F.concat(F.lit("N"), "id").alias("name"), F.lit(None).cast("string").alias("url"), F.lit(9).cast("smallint").alias("depth"))
+    changes = rows.filter("running_state = 'crawl'").select("id", F.concat(F.lit("N"), "id").alias("name"), F.lit(None).cast("string").alias("url"), F.lit(9).cast("smallint").alias("depth"))
     new = rows.filter("id = 1001").select(F.col("id") + 1000000, F.lit("new"), F.lit("http://new.example"), F.lit(9).cast("smallint"))
     return catalogs.save_catalogs(rows, changes.union(new)).select("id", "name", "url", "depth")
 
@@ -697,14 +697,15 @@ def x3_crawl_counters(spark, d):
 
 @query()
 def x4_update(spark, d):
-    """An update over sites half seen: unseen pages are saved, seen ones only followed."""
+    """An update over sites partly seen (the indexed pages): unseen pages are saved, seen ones only followed."""
     pages, first, details = _graph(spark, d)
     from orbweave.session import durable
 
     pages = durable(pages, "graph-pages")
     start = crawl.seeds(details, index.current_versions(_index(spark, d)), "update", first).join(first.select("catalog_id"), "catalog_id", "left_semi")
     versions = start.select("catalog_id", "refer", "version")
-    seen = pages.filter("i % 2 = 0").select("catalog_id", F.col("url").alias("path")).join(versions, "catalog_id")
+    indexed = _docs(spark, d).select(F.col("path").alias("url")).distinct()
+    seen = pages.join(indexed, "url", "left_semi").select("catalog_id", F.col("url").alias("path")).join(versions, "catalog_id")
     return crawl.crawl(start, pages, details, visited=seen).resources.select("catalog_id", "url")
 
 
