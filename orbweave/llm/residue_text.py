@@ -39,9 +39,10 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def filler_share(text: str, words: frozenset[str]) -> float:
-    """Share of filler words among the words of a text, 0 for a text without words."""
+    """Share of filler words among the words of a text, 0 unless two different ones are there."""
     found = WORD.findall(text.lower())
-    return sum(w in words for w in found) / len(found) if found else 0.0
+    hits = [w for w in found if w in words]
+    return len(hits) / len(found) if len(set(hits)) > 1 else 0.0
 
 
 def quoted(text: str, start: int, end: int) -> bool:

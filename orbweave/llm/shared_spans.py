@@ -125,20 +125,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All SPAN-mers that hold one of the given stretches: (tid, text, starts, ends) to (w1, w2, tid, pos)."""
-    one, two = Powers(_R1), Powers(_R2)
-    for batch in batches:
-        for tid, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
-            codes = code_points(text)
-            at = np.unique(
-                np.concatenate([np.arange(max(0, e - SPAN), min(s, len(codes) - SPAN) + 1) for s, e in zip(starts, ends)])
-            )
-            with np.errstate(over="ignore"):
-                w1, w2 = (mixed(gram_hashes(codes, SPAN, p)[at]).view(np.int64) for p in (one, two))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), tid)), pa.array(at.astype(np.int32))], ["w1", "w2", "tid", "pos"]
-            )
+def _windows(every: bool):
+    """(tid, text, starts, stops) to (w1, w2, tid, pos): SPAN-mers that hold a whole stretch, or all that touch one in a k-mer."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Powers(_R1), Powers(_R2)
+        for batch in batches:
+            for tid, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = code_points(text)
+                last = len(codes) - SPAN
+                if every:
+                    ranges = [(s - (SPAN - K), e - K) for s, e in zip(starts, stops)]
+                else:
+                    ranges = [(e - SPAN, s) for s, e in zip(starts, stops)]
+                at = np.unique(np.concatenate([np.arange(max(0, a), min(b, last) + 1) for a, b in ranges]))
+                with np.errstate(over="ignore"):
+                    w1, w2 = (mixed(gram_hashes(codes, SPAN, p)[at]).view(np.int64) for p in (one, two))
+                columns = [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), tid)), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "tid", "pos"])
+
+    return cut
 
 
 def _texts(rows: DataFrame, doc: str, text: str) -> DataFrame:
@@ -184,12 +190,16 @@ def shared_paths(texts: DataFrame) -> DataFrame:
     )
 
 
-def span_windows(texts: DataFrame, stretches: DataFrame) -> DataFrame:
-    """(w1, w2, tid, pos) of all SPAN-mers of each text that hold one of its stretches (tid, start, stop)."""
+def span_windows(texts: DataFrame, stretches: DataFrame, every: bool = False) -> DataFrame:
+    """(w1, w2, tid, pos) of the SPAN-mers of each text that hold one of its stretches (tid, start, stop).
+
+    Texts that share a stretch and SPAN code points around it share a SPAN-mer that holds it whole. With `every`
+    also those that hold only a k-mer of a stretch, so that all shared code points are covered.
+    """
     wanted = stretches.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     first = texts.groupBy("tid").agg(F.min("doc").alias("doc"))  # one copy of each text is read
     chosen = wanted.join(first, "tid").select("doc", "starts", "stops")
-    return texts.join(chosen, "doc").select("tid", "text", "starts", "stops").mapInArrow(_windows, "w1 bigint, w2 bigint, tid bigint, pos int")
+    return texts.join(chosen, "doc").select("tid", "text", "starts", "stops").mapInArrow(_windows(every), "w1 bigint, w2 bigint, tid bigint, pos int")
 
 
 def shared_pairs(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +247,7 @@ def shared_amounts(rows: DataFrame, doc: str = "doc_id", text: str = "text") ->
     record whose whole text another record has is shared throughout. Null and short texts share nothing.
     """
     texts = _texts(rows, doc, text)
-    windows = durable(span_windows(texts, shared_paths(texts).select("tid", "start", "stop")), "span-windows")
+    windows = durable(span_windows(texts, shared_paths(texts).select("tid", "start", "stop"), True), "span-windows")
     common = windows.groupBy("w1", "w2").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b")
     along = Window.partitionBy("tid").orderBy("pos")
     covered = (
