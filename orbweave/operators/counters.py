@@ -47,7 +47,7 @@ def over_budget(counter: Column, most: Column) -> Column:
 def first_over_budget(events: DataFrame, order: list[str], most: int, where: Column | None = None) -> DataFrame:
     """The event at which a running count first exceeds a budget, over a total order.
 
-    Counts per range partition come first and are summed in order, so no task sees all events.
+    The planner keeps the first `most` + 1 events of each task and merges those, so nothing is sorted as a whole.
     """
     chosen = events if where is None else events.filter(where)
     return chosen.orderBy(*order).offset(most).limit(1)

@@ -734,6 +734,77 @@ def x23_run_summary(spark, d):
         F.count("*").alias("stored"), F.count("in_index").alias("indexed"), (F.max(ms) - F.min(ms)).alias("elapsed_ms"))
 
 
+_START_SQL = "coalesce(nullif(trim(c.start_url), ''), c.url)"
+_LATEST_SQL = "(SELECT catalog_id, url AS path FROM crawler_resource WHERE create_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY catalog_id ORDER BY create_time DESC, id DESC) = 1)"
+
+
+@query(f"""SELECT c.id AS catalog_id, c.url AS refer, CASE WHEN {_START_SQL} = c.url || '/' THEN c.url ELSE {_START_SQL} END AS path, coalesce(i.version, 0) AS version
+FROM crawler_catalog c LEFT JOIN {_CURRENT_SQL} i ON i.catalog_id = c.id""")
+def x7_crawl_seeds(spark, d):
+    """One packet per catalog at its start."""
+    details = catalogs.catalog_details(_catalog(spark, d))
+    return crawl.seeds(details, index.current_versions(_index(spark, d))).select("catalog_id", "refer", "path", "version")
+
+
+@query(f"""SELECT c.id AS catalog_id, CASE WHEN coalesce(l.path, {_START_SQL}) = c.url || '/' THEN c.url ELSE coalesce(l.path, {_START_SQL}) END AS path, 'update' AS action
+FROM crawler_catalog c LEFT JOIN {_LATEST_SQL} l ON l.catalog_id = c.id""")
+def x8_update_seeds(spark, d):
+    """One packet per catalog at its latest stored path."""
+    details, latest = catalogs.catalog_details(_catalog(spark, d)), catalogs.latest_path(_resource(spark, d))
+    return crawl.seeds(details, index.current_versions(_index(spark, d)), "update", latest).select("catalog_id", "path", "action")
+
+
+@query("SELECT count(*) FILTER (running_state = 'crawl') AS crawls, count(*) FILTER (running_state = 'update') AS updates FROM crawler_catalog")
+def x2_actions(spark, d):
+    """Packets by action."""
+    parts = crawl.actions(_catalog(spark, d).withColumnRenamed("running_state", "action"))
+    both = parts["crawl"].unionByName(parts["update"])
+    return both.agg(F.count_if(F.col("action") == "crawl").alias("crawls"), F.count_if(F.col("action") == "update").alias("updates"))
+
+
+@query("SELECT count(*) AS packets, CAST(0 AS BIGINT) AS split_paths FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id")
+def x1_partitioning(spark, d):
+    """Packets of one path lie in one partition."""
+    placed = crawl.partitioned(_visited(spark, d), 8).withColumn("part", F.spark_partition_id())
+    paths = placed.groupBy(*dedup.KEYS).agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"))
+    return paths.agg(F.sum("n").alias("packets"), F.count_if(F.col("parts") > 1).alias("split_paths"))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'URL_TOTAL_COUNT' WHEN 'click' THEN 'SAVED_RESOURCE_COUNT' WHEN 'signup' THEN 'INDEXED_RESOURCE_COUNT' WHEN 'error' THEN 'INVALID_URL_COUNT' ELSE 'EXISTING_URL_COUNT' END AS outcome, count(*) AS n FROM events GROUP BY 1")
+def a4_counter_events(spark, d):
+    """Events by the counter they raise."""
+    return _tagged(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c.id, c.name, i.version, row_number() OVER (ORDER BY c.last_modified DESC, i.last_modified DESC, c.id, i.version) AS position
+FROM crawler_catalog c JOIN crawler_catalog_index i ON i.catalog_id = c.id""")
+def t1_listing_order(spark, d):
+    """The whole listing in its order (a short table, numbered in one task)."""
+    rows = catalogs.listing(_catalog(spark, d), _index(spark, d))
+    place = Window.orderBy(F.desc("last_modified"), F.desc("last_indexed"), "id", "version")
+    return rows.withColumn("position", F.row_number().over(place).cast("bigint")).select("id", "name", "version", "position")
+
+
+@query(f"""SELECT d.id, round(t.s + coalesce(c.s, 0), 6) AS score FROM indexed_resource d JOIN ({_bm25_sql('title', _T)}) t ON t.id = d.id LEFT JOIN ({_bm25_sql('content', _T)}) c ON c.id = d.id
+WHERE d.version = 2 AND d.cat = 'travel' ORDER BY t.s + coalesce(c.s, 0) DESC, d.id LIMIT 10""")
+def f6_search_entry(spark, d):
+    """First page of a search within a version and a category."""
+    return search.top(search.scored(_docs(spark, d), "harbour bridge", 2, "travel"), 1, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_CREATED_SQL.format(v="i.version") + " AND r.id = (SELECT max(id) FROM crawler_resource)")
+def v1_index_one(spark, d):
+    """One resource into the index."""
+    one = _resource(spark, d).join(_resource(spark, d).agg(F.max("id").alias("id")), "id", "left_semi")
+    return index.create_index(one, _catalog(spark, d), _index(spark, d))
+
+
+@query("SELECT i.id, i.catalog_id, i.version FROM crawler_catalog_index i WHERE i.catalog_id <> 1001")
+def v11_delete_index_row(spark, d):
+    """The index table less one catalog's rows."""
+    return catalogs.without_catalog(_index(spark, d), 1001).select("id", "catalog_id", "version")
+
+
 # extensions: windows over the run log
 
 
