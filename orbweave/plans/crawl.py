@@ -131,9 +131,10 @@ def crawl(
     spark = start.sparkSession
     began = monotonic()
     frontier = start.select("action", "catalog_id", "refer", "path", "cat", "version")
-    nothing = spark.createDataFrame([], "catalog_id bigint, refer string, path string, version int")
-    known = [visited.select(*KEYS) if visited is not None else nothing]
-    walked: list[DataFrame] = [nothing]
+    # keys seen so far, and whether this run has gone on from them; one part a level
+    if visited is None:
+        visited = spark.createDataFrame([], "catalog_id bigint, refer string, path string, version int")
+    known = [visited.select(*KEYS, F.lit(False).alias("_went"))]
     stored: list[DataFrame] = []
     logs: list[DataFrame] = []
     level, stopped = 0, ""
@@ -151,13 +152,12 @@ def crawl(
             frontier.groupBy(*KEYS)
             .agg(F.max_by(F.struct("action", "cat"), crawls).alias("x"), F.count("*").alias("copies"))
             .select(*KEYS, "x.action", "x.cat", "copies")
-            .join(_union(known).withColumn("_seen", F.lit(True)), list(KEYS), "left")
-            .join(_union(walked).withColumn("_walked", F.lit(True)), list(KEYS), "left")
-            .withColumns({"_seen": F.coalesce("_seen", F.lit(False)), "_walked": F.coalesce("_walked", F.lit(False))})
+            .join(_union(known).groupBy(*KEYS).agg(F.max("_went").alias("_went")), list(KEYS), "left")
+            .withColumns({"_seen": F.col("_went").isNotNull(), "_went": F.coalesce("_went", F.lit(False))})
         )
         old = durable(old, "crawl-paths")
         # an update walks on through seen pages, but through each of them once
-        going = (~F.col("_seen") | (F.col("action") == "update")) & ~F.col("_walked")
+        going = (~F.col("_seen") | (F.col("action") == "update")) & ~F.col("_went")
         hit = fetch(old.filter(going), pages).withColumn("html", rewritten(F.col("html"), list(rewriters)))
         step = durable(hit.withColumns({"missing": F.col("html") == "", "blank": html.body_text(F.col("html")) == ""}), "crawl-step")
         ok = step.filter("not missing and not blank")
@@ -176,10 +176,9 @@ def crawl(
         follow = ok.withColumns({"action": F.when(F.col("_seen"), F.col("action")).otherwise("crawl"), "level": F.lit(level)})
         links = durable(outgoing(follow, details, resolve_links, robots), "crawl-links")
         logs.append(_log(old, step, marked, links, level))
-        known.append(old.filter("not _seen").select(*KEYS))
-        walked.append(old.filter(going).select(*KEYS))
+        known.append(old.filter(going).select(*KEYS, F.lit(True).alias("_went")))
         if len(known) > COMPACT_LEVELS:
-            known, walked = [durable(_union(known), "visited")], [durable(_union(walked), "walked")]
+            known = [durable(_union(known).groupBy(*KEYS).agg(F.max("_went").alias("_went")), "visited")]
         frontier = links.filter("accepted").select("action", "catalog_id", "refer", "path", "cat", "version")
         level += 1
         if budget and budget.counter and budget.most is not None:
@@ -191,7 +190,7 @@ def crawl(
         stopped = "levels"
     log = _union(logs) if logs else spark.createDataFrame([], LOG)
     saved = _union(stored) if stored else spark.createDataFrame([], RESOURCE).drop("create_time")
-    return CrawlResult(saved, _union(known), log, level, stopped)
+    return CrawlResult(saved, _union(known).select(*KEYS).distinct(), log, level, stopped)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
