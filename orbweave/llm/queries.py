@@ -139,5 +139,14 @@ SELECT r.id FROM crawler_resource r JOIN (
   SELECT catalog_id, url, min(id) AS first_id FROM crawler_resource
   WHERE url IS NOT NULL AND catalog_id IS NOT NULL GROUP BY catalog_id, url
 ) f ON r.catalog_id = f.catalog_id AND r.url = f.url WHERE r.id > f.first_id
-"""
+""",
+    "p9_found": """
+WITH spans AS (
+  SELECT DISTINCT doc_id, hash(s) AS h1, hash(s || '.') AS h2 FROM (
+    SELECT doc_id, substring(text, p, 200) AS s FROM (
+      SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200))
+), common AS (SELECT h1, h2 FROM spans GROUP BY h1, h2 HAVING count(*) > 1),
+hits AS (SELECT s.* FROM spans s JOIN common c ON c.h1 = s.h1 AND c.h2 = s.h2)
+SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM hits a JOIN hits b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.doc_id < b.doc_id
+""",
 }
