@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from html import unescape
 
-#: What is never visible: comments, and head, scripts and styles with all they hold (to the end if unclosed).
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(head|script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: What is never visible: comments, and head, scripts and styles with all they hold (to the end if unclosed; a head
+#: ends where a body begins).
+HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S
+)
 TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
 LONG_TAG = re.compile(r"<[A-Za-z/!?][^>\n]*\n[^>]*>")
 BLANKS = re.compile(r"[ \t\r]+")

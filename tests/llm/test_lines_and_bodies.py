@@ -18,6 +18,7 @@ def test_visible_lines():
     html = '<html><head><title>no</title></head>\n<body>\r\n<script>\nvar t="</p>"; {{x}}\n</script><!-- a\nb --><p>A&amp;B \t c<b>d</b></p>\n<noscript>on</noscript>\n<a\n href="x">l</a>\n&nbsp;\n\n'
     assert visible_lines(html) == [(6, "A&B cd"), (7, "on"), (9, "l"), (10, "\xa0")]
     assert visible_lines(None) == visible_lines("") == [] and visible_lines("a < b\n<3") == [(1, "a < b"), (2, "<3")]
+    assert visible_lines("<head><title>x</title>\n<body>y</body><header>z</header>") == [(2, "yz")]
     assert visible_lines("<script>never closed\nx") == []
 
 
