@@ -83,8 +83,7 @@ def _source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None
         .na.fill(0, ["documents", "available", "max_repeats"])
     )
     can = wanted.withColumn("reach", F.col("available") * F.col("max_repeats"))
-    best = can.filter("reach > 0").agg(F.min(F.col("reach") / F.col("target_share"))).first()[0]
-    total = int(total_tokens if total_tokens is not None else best or 0)
+    total = int(total_tokens if total_tokens is not None else sizes.agg(F.sum("tokens")).first()[0] or 0)
     goal = F.least(F.col("target_share") * F.lit(float(total)), F.col("reach").cast("double"))
     return can.withColumn("goal", goal).withColumn("rate", F.when(F.col("available") > 0, F.col("goal") / F.col("available")).otherwise(0.0)), total
 
@@ -124,8 +123,9 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """Drawn records (source, doc, tokens, copies) and the shares reached (one row per target).
 
-    The whole mixture is as large as it can be while every source that holds anything still gets its share
-    within its repeats, or `total_tokens`, if given; a source that then falls short gives all its repeats. A record
+    A source's goal is its share of the tokens of all records, or of `total_tokens`, if given, however little any other
+    source holds. A source too small for that gives all its repeats, and `shortfall_tokens` is what it lacks; no other
+    source makes up for it, as that would take those away from their shares. A record
     of a source gets floor(rate) copies for sure and one more with the rest as probability. Pivotal rounding
     settles these: records are paired, expected size moves between them until one is whole; what stays open
     goes up a tree of tasks. Large records settle first and the rest make up for them, so a source's total misses
@@ -161,5 +161,6 @@ def mix(
         "source", "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"),
         F.round("goal").cast("bigint").alias("goal_tokens"), "drawn_tokens", "most_copies",
         F.when(F.col("whole") > 0, F.round(F.col("drawn_tokens") / F.col("whole"), 6)).otherwise(0.0).alias("actual_share"),
+        F.greatest(F.lit(0), F.round(F.col("target_share") * F.lit(float(total)) - F.col("goal")).cast("bigint")).alias("shortfall_tokens"),
     )
     return drawn, shares

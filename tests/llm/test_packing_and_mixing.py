@@ -138,3 +138,16 @@ def test_mixture_edges(spark):
     assert drawn.count() == 0 and shares.first().drawn_tokens == 0
     drawn, shares = mix(spark.createDataFrame([(1, "x", "a")], DOCS), spark.createDataFrame([], TARGETS))
     assert drawn.count() == 0 and shares.count() == 0
+
+
+def test_a_scarce_source_does_not_shrink_the_mixture(spark):
+    rows = [(i, "word " * 20, "a" if i % 2 else "b") for i in range(400)]
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.25, 3), ("tiny", 0.2, 2), ("none", 0.05, 2)], TARGETS)
+    df = spark.createDataFrame([*rows, (9000, "a few words", "tiny")], DOCS)
+    total = sum(x.tokens for x in token_sizes(df, {"doc_id": "bigint"}).collect())
+    shares = {x.source: x for x in mix(df, targets)[1].collect()}
+    tiny = shares["tiny"]
+    assert tiny.drawn_tokens == 2 * tiny.available_tokens and tiny.shortfall_tokens == round(0.2 * total - tiny.drawn_tokens)
+    assert shares["none"].shortfall_tokens == round(0.05 * total)
+    for s, part in (("a", 0.5), ("b", 0.25)):
+        assert abs(shares[s].drawn_tokens - part * total) <= 30 and shares[s].shortfall_tokens == 0
