@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from orbweave.session import durable
 LEAST_PAGES, SHARE, SURE_SHARE = 2, 0.02, 0.1
 #: The same for an element's shape (its path, tag and class, whatever its text).
 SHAPE_SHARE = 0.1
-#: Share of template lines under one element path from which all of that path is template.
-PATH_SHARE = 0.93
+#: Share of template lines under one element path from which a line of that path that does not recur is template
+#: too, if its element says so, or it is shorter than so many characters and stands among template.
+PATH_SHARE, PATH_CHARS = 0.93, 200
 #: A page with at most so many lines left is compared with the leftovers of other hosts' pages.
 THIN_LINES, ERROR_HOSTS = 6, 3
 #: A page with a single line left that is shorter than this has no main body: an article has a headline and a text.
@@ -29,6 +31,7 @@ LONE_CHARS = 200
 FILLER_SHARE, FILLER_WORDS = 0.12, 5
 
 _PARAGRAPHS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd figcaption blockquote pre address".split())
+_ASIDE = re.compile(r">(?:header|nav|aside|footer|small)\b")
 _ARRAYS = "items array<bigint>, shapes array<bigint>, paths array<bigint>, heads array<int>, lines array<int>, chars array<int>, residue array<int>"
 _PAGES = f"site bigint, doc bigint, page bigint, {_ARRAYS}"
 
@@ -64,7 +67,8 @@ def unit_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = places.get(path)
                 if place is None:
                     tag = path.rpartition(">")[2].partition(".")[0]
-                    place = places[path] = (hashed(path), hashed("s", path), tag in _PARAGRAPHS)
+                    place = places[path] = (hashed(path) & ~1 | bool(_ASIDE.search(path)), hashed("s", path), tag in _PARAGRAPHS)
+                # paths end in a 1 bit if they lead out of the article by their tags alone
                 # shapes of elements with a class end in a 1 bit, those of what stands in nav, aside or footer do not
                 shape = place[1] | 1 if mark else place[1] & ~1 if ">nav" in path or ">aside" in path or ">footer" in path else 0
                 j = i + 1
@@ -139,10 +143,17 @@ _GONE = (
     "array_contains(tpl, items[i]) or (shapes[i] <> 0 and array_contains(tpl, shapes[i]))"
     " or (heads[i] >= 0 and array_contains(tpl, items[heads[i]]))"
 )
+#: What a line under a path of template shows itself: it is in a header, nav, aside, footer or small or has a class, or
+#: it is short, its neighbours are template, and one of them is under the same path.
+_AMONG = (
+    f"(pmod(paths[i], 2) = 1 or shapes[i] <> 0 or (chars[i] < {PATH_CHARS}"
+    " and coalesce(get(gone, i - 1), true) and coalesce(get(gone, i + 1), true)"
+    " and (coalesce(get(paths, i - 1) = paths[i], false) or coalesce(get(paths, i + 1) = paths[i], false))))"
+)
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(site, tpl, ways): hashes of recurring subtrees and shapes, and element paths that are template throughout."""
+    """(site, tpl, ways): hashes of recurring subtrees and shapes, and element paths that are mostly template."""
     both = pages.select("site", "page", F.expr("array_union(items, filter(shapes, s -> s <> 0))").alias("items"))
     c, n = F.col("c"), F.col("n")
     shape = F.pmod("item", F.lit(2)) == 1
@@ -167,15 +178,15 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
 def leftovers(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """(site, doc, units, rest): the page's number of lines, and those outside the site's template."""
-    rest = F.expr(
-        f"transform(filter(sequence(0, size(items) - 1), i -> not ({_GONE} or array_contains(ways, paths[i]))),"
-        " i -> struct(lines[i] as line_no, items[i] as item, chars[i] as chars, residue[i] as residue))"
-    )
     joined = by_site(pages.filter("size(items) > 0"), templates, "left")
     empty = F.expr("cast(array() as array<bigint>)")
-    return joined.withColumns({"tpl": F.coalesce("tpl", empty), "ways": F.coalesce("ways", empty)}).select(
-        "site", "doc", F.size("items").alias("units"), rest.alias("rest")
+    joined = joined.withColumns({"tpl": F.coalesce("tpl", empty), "ways": F.coalesce("ways", empty)})
+    marked = joined.withColumn("gone", F.expr(f"transform(sequence(0, size(items) - 1), i -> {_GONE})"))
+    rest = F.expr(
+        f"transform(filter(sequence(0, size(items) - 1), i -> not (gone[i] or array_contains(ways, paths[i]) and {_AMONG})),"
+        " i -> struct(lines[i] as line_no, items[i] as item, chars[i] as chars, residue[i] as residue))"
     )
+    return marked.select("site", "doc", F.size("items").alias("units"), rest.alias("rest"))
 
 
 def error_texts(left: DataFrame) -> DataFrame:
@@ -217,7 +228,8 @@ def main_lines(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
 
     A subtree that recurs on many pages of a host, by text or by shape (elements with a class, and what stands
     in nav, aside or footer), is template; so is what a recurring
-    heading opens, and every element path whose lines are mostly template. Where what is left is chiefly an
+    heading opens, and under an element path whose lines are mostly template what stands in a header, nav, aside,
+    footer or small, has a class, or is a short line among template. Where what is left is chiefly an
     error message, filler or placeholders, there is no main body; otherwise all that is left counts, single
     placeholders included. Rows with null id or html, and pages without visible text, give no lines; a
     null url counts as a page of its own; a row stored twice gives its lines twice; extra columns are

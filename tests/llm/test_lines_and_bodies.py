@@ -122,6 +122,17 @@ def test_main_body_of_a_site(spark):
     assert contents[3] == texts[3].replace("\n", " ")
 
 
+def test_articles_of_a_site_that_mostly_serves_one_error_page(spark):
+    """The error page makes the paths of headline and text template, but not what stands under them only once."""
+    error = "<html><body>\n<h1>Oops</h1>\n<p>The page could not be found here.</p>\n<p>Try again later.</p>\n</body></html>"
+    body = "<html><body>\n<h1>{0} and {1}</h1>\n<p class='m'>By the desk</p>\n<p>{2}</p>\n<h3>About the {1}</h3>\n<p>{3}</p>\n</body></html>"
+    rows = [(i, "t", error, f"http://hot.test/{i}", 1) for i in range(200)]
+    for i, (a, b) in enumerate([("kiln", "ferry"), ("quarry", "clinic"), ("garden", "library")]):
+        rows.append((300 + i, "t", body.format(a, b, ARTICLE.format(a, b, i), ARTICLE.format(b, a, i + 50)), f"http://hot.test/a{i}", 1))
+    got = {(r.id, r.line_no) for r in main_lines(spark.createDataFrame(rows, PAGES)).filter("id >= 300").collect()}
+    assert got >= {(300 + i, n) for i in range(3) for n in (2, 4, 5, 6)}
+
+
 def test_url_variants_are_one_page(spark):
     # the same article under three spellings of its url is no template
     rows = article_site()
