@@ -1,42 +1,58 @@
-"""Cut html into the units of template work: visible lines with the element they stand in.
+"""Cut html into the subtrees of template work: visible text with the elements it stands in, hashed bottom-up.
 
-Most lines of a page are its site's template, so what a line holds (tags, text, hash) is parsed once and
-kept by its markup; a page then only replays the tags on a stack of open elements.
+Most lines of a page are its site's template, so what a line holds (tags and runs of text, hashed) is parsed
+once and kept by its markup; a page then only replays that on a stack of open elements. Lines are a matter of
+caching and of numbers alone: a page written on one line has the same elements.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from html import unescape
 from typing import NamedTuple
 
 import xxhash
 
 from orbweave.llm.pagelines import BLANKS, HIDDEN, LONG_TAG
+from orbweave.llm.residue_text import Mark, marks_in, residue_kind
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>|<[!?][^>]*>")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'\s>]+(?:\s[^"'>]+)?)""", re.I)
+_CODE = re.compile(r"<(code|samp|kbd)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
+#: Sites often add their name to a title behind a dash or a bar.
+SUFFIX = re.compile(r"\s+[-–—|:·]+\s+")
 _BLOCK = frozenset(
-    "html body div p ul ol li dl dt dd table thead tbody tr td th h1 h2 h3 h4 h5 h6 header footer nav aside main article"
+    "html body div p ul ol li dl dt dd table thead tbody tr td th caption h1 h2 h3 h4 h5 h6 header footer nav aside main article"
     " section blockquote figure figcaption pre form fieldset address noscript".split()
 )
 _INLINE = frozenset(["span", "b", "font", "small"])
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _ENDED = _INLINE | _HEADING
-_RULE, _OPEN, _CLOSE = 0, 1, 2
-#: Lines whose parse is kept; a cache only, emptied when full.
-CACHED_LINES = 100_000
+_CELL = frozenset(["td", "th"])
+#: Elements whose text is one, however many lines it takes; in others every line is a text of its own.
+_WHOLE = _HEADING | frozenset("p li dt dd caption figcaption blockquote pre address".split())
+#: What an opening tag closes if it is left open above it.
+_CLOSES = {tag: frozenset(["p", *_INLINE]) for tag in _BLOCK - {"html", "body", "noscript"}}
+_CLOSES["li"] = _CLOSES["li"] | {"li"}
+_CLOSES["td"] = _CLOSES["th"] = _CLOSES["td"] | _CELL
+_CLOSES["tr"] = _CLOSES["tr"] | _CELL | {"tr"}
+_CLOSES["dt"] = _CLOSES["dd"] = _CLOSES["dt"] | {"dt", "dd"}
+_RULE, _OPEN, _CLOSE, _TEXT = 0, 1, 2, 3
 
+#: Bits of a unit: a heading; inside header, nav, aside, footer or small; inside nav, aside or footer; its element has a
+#: class; elements that hold content whatever their class; the page's title; text between blocks. Residue kinds follow
+#: from KIND on.
+HEADING, EDGE, FRAME, CLASSED, CONTENT, TITLE, LOOSE_TEXT, KIND = 1, 2, 4, 8, 16, 32, 64, 7
+_EDGE = frozenset(["header", "nav", "aside", "footer", "small"])
+_FRAME = frozenset(["nav", "aside", "footer"])
+_CONTENT = _HEADING | frozenset("li td th dt dd caption figcaption blockquote pre".split())
 
-class Line(NamedTuple):
-    """What a line of markup holds: tags before its first text, the text, tags after, and facts about the text."""
-
-    before: tuple
-    text: str
-    after: tuple
-    item: int
-    kind: int
+#: Characters of markup whose parse is kept, and of the longest line that is; a cache only, emptied when full.
+CACHED_CHARS, CACHED_LINE = 4_000_000, 4_000
+#: Element paths that are kept; emptied when full.
+CACHED_PATHS = 50_000
+_MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 def hashed(*parts: str) -> int:
@@ -44,104 +60,306 @@ def hashed(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
 
-def _parse(line: str, kind: Callable[[str], int]) -> Line:
-    before: list[tuple] = []
-    after: list[tuple] = []
-    parts: list[str] = []
-    at = 0
-    for m in _TAG.finditer(line):
-        if m.start() > at:
-            piece = line[at : m.start()]
-            if parts or piece.strip():
-                parts.append(piece)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            continue
-        tag = name.lower()
-        ops = after if parts else before
-        if m.group(1):
+def mixed(a: int, b: int) -> int:
+    """64 hash bits of two numbers, in order."""
+    x = (a * _ODD + b) & _MASK
+    x ^= x >> 29
+    return (x * 0xBF58476D1CE4E5B9) & _MASK
+
+
+class Label(NamedTuple):
+    """What an opening tag says."""
+
+    tag: str
+    hash: int
+    block: bool
+    classed: bool
+
+
+class Run(NamedTuple):
+    """A run of text inside one element on one line; its variables, those in code left out."""
+
+    text: str
+    hash: int
+    kind: int
+    marks: tuple[Mark, ...]
+
+
+def _clean(text: str) -> str:
+    if "  " in text or "\t" in text or "\r" in text:
+        text = BLANKS.sub(" ", text)
+    return text.strip(" ")
+
+
+class Lines:
+    """Parsed lines by their markup, of bounded size."""
+
+    def __init__(self) -> None:
+        self.held, self.room = {}, CACHED_CHARS
+        self.paths: list[tuple[int, int]] = [(0, 0)]
+        self.steps: dict[tuple[int, int], int] = {}
+
+    def __call__(self, line: str) -> tuple:
+        ops = self.held.get(line)
+        if ops is None:
+            ops = self._parse(line)
+            if len(line) <= CACHED_LINE:
+                self.room -= len(line) + 200
+                if self.room < 0:
+                    self.held.clear()
+                    self.room = CACHED_CHARS
+                self.held[line] = ops
+        return ops
+
+    def path(self, parent: int, label: Label) -> int:
+        """The place of an element below another: a number for its chain of labels."""
+        step = (parent, label.hash)
+        place = self.steps.get(step)
+        if place is None:
+            above, bits = self.paths[parent]
+            bits &= EDGE | FRAME
+            bits |= EDGE * (label.tag in _EDGE) | FRAME * (label.tag in _FRAME) | HEADING * (label.tag in _HEADING)
+            bits |= CLASSED * label.classed | CONTENT * (label.tag in _CONTENT)
+            self.paths.append((mixed(above, label.hash), bits))
+            place = self.steps[step] = len(self.paths) - 1
+        return place
+
+    def fresh(self) -> None:
+        """Between pages: forget paths where there are too many."""
+        if len(self.paths) > CACHED_PATHS:
+            self.paths, self.steps = [(0, 0)], {}
+
+    def _parse(self, line: str) -> tuple:
+        ops: list[tuple] = []
+        parts: list[str] = []
+        at = 0
+        coded = "<code" in line or "<samp" in line or "<kbd" in line
+        bare = _clean(unescape(_TAG.sub("", _CODE.sub(" ", line)))) if coded else ""
+
+        def flush() -> None:
+            if parts:
+                text = "".join(parts)
+                parts.clear()
+                text = _clean(unescape(text) if "&" in text else text)
+                if text:
+                    marks = marks_in(text)
+                    if marks and coded:
+                        marks = tuple(m for m in marks if m.token in bare)
+                    ops.append((_TEXT, Run(text, hashed(text), residue_kind(text, marks), marks)))
+
+        for m in _TAG.finditer(line):
+            if m.start() > at:
+                parts.append(line[at : m.start()])
+            at = m.end()
+            name = m.group(2)
+            if name is None:
+                continue
+            tag = name.lower()
             if tag in _BLOCK:
-                ops.append((_CLOSE, tag, "", False))
-        elif tag in _BLOCK:
-            # a body's class tells the kind of page, not the template
-            attr = _ATTR.search(m.group(3)) if m.group(3) and tag != "body" and tag != "html" else None
-            ops.append((_OPEN, tag, f"{tag}.{attr.group(1)}" if attr else tag, True))
-        elif tag == "hr":
-            ops.append((_RULE, "", "", False))
-        elif tag in _INLINE and not parts and m.group(3):
-            attr = _ATTR.search(m.group(3))
-            if attr:  # an inline element with a class that opens a line is an element of its own, to the line's end
-                ops.append((_OPEN, tag, f"{tag}.{attr.group(1)}", False))
-    if at < len(line):
-        parts.append(line[at:])
-    text = "".join(parts)
-    if text:
-        if "&" in text:
-            text = unescape(text)
-        if "  " in text or "\t" in text or "\r" in text:
-            text = BLANKS.sub(" ", text)
-        text = text.strip(" ")
-    return Line(tuple(before), text, tuple(after), hashed("e", text) & ~1 if text else 0, kind(text) if text else 0)
-
-
-def page_units(html: str, kind: Callable[[str], int], known: dict[str, Line]) -> list[tuple[int, Line, int, str, str, int]]:
-    """The units of a page in order: (line number, line, leaf, mark, path, head).
-
-    `leaf` numbers the innermost element's instance (below 0 where that element also holds blocks), `mark`
-    is its tag.class if it has a class, id or role and is a leaf, `path` the chain of block elements. `head`
-    is the index of the unit that is the heading of the section the unit stands in, -1 if none: a heading
-    owns what follows it up to the next heading, a rule or the end of the element around it.
+                flush()
+                if m.group(1):
+                    ops.append((_CLOSE, tag))
+                else:
+                    # a body's class tells the kind of page, not the template; numbers tell the page
+                    attr = _ATTR.search(m.group(3)) if m.group(3) and tag != "body" and tag != "html" else None
+                    name = f"{tag}.{re.sub(r'[0-9]+', '', attr.group(1))}" if attr else tag
+                    ops.append((_OPEN, Label(tag, hashed("l", name), True, attr is not None)))
+            elif tag == "hr":
+                flush()
+                ops.append((_RULE,))
+            elif tag == "br":
+                flush()
+            elif tag in _INLINE:
+                if m.group(1):
+                    if any(op[0] == _OPEN and op[1].tag == tag for op in ops):
+                        flush()
+                        ops.append((_CLOSE, tag))
+                elif m.group(3) and not "".join(parts).strip():
+                    attr = _ATTR.search(m.group(3))
+                    if attr:  # an inline element with a class that opens a run of text is an element of its own
+                        parts.clear()
+                        ops.append((_OPEN, Label(tag, hashed("l", f"{tag}.{attr.group(1)}"), False, True)))
+        if at < len(line):
+            parts.append(line[at:])
+        flush()
+        return tuple(ops)
+
+
+class Page(NamedTuple):
+    """A page's units (runs of text) as parallel lists, and its inner subtrees as ranges of units.
+
+    `items` hash the smallest subtree around a unit (all text of its element, as sites set one text in several
+    elements; headings and the page's title with their label, so links to a page do not stand for its headline; a
+    table's row as a whole), `texts` the text of that element alone, `paths` the chain of elements, `heads` the unit that is the heading of
+    the section the unit stands in, -1 if none: a heading owns what follows it up to the next heading, a rule
+    or the end of the element around it. `owners` number the smallest subtrees.
     """
+
+    lines: list[int]
+    items: list[int]
+    texts: list[int]
+    paths: list[int]
+    flags: list[int]
+    heads: list[int]
+    chars: list[int]
+    owners: list[int]
+    strings: list[str]
+    marks: list[tuple[Mark, ...]]
+    names: set[str]
+    trees: list[int]
+    starts: list[int]
+    stops: list[int]
+
+
+def page_units(html: str, lines: Lines) -> Page:
+    """The units of a page in order, with the hashes of the subtrees they are in."""
+    lines.fresh()
     text = HIDDEN.sub(lambda m: "\n" * m.group().count("\n"), html)
     if LONG_TAG.search(text):
         text = LONG_TAG.sub(lambda m: m.group().replace("\n", " ") + "\n" * m.group().count("\n"), text)
-    units: list[tuple[int, Line, int, str, str, int]] = []
-    # open elements: (tag, name with class, path, instance, is block, heading before it opened)
-    stack: list[tuple[str, str, str, int, bool, int]] = [("", "", "", 0, True, -1)]
-    inner = [False]  # by instance: has a block inside
-    count, head = 0, -1
-
-    def replay(ops: tuple) -> None:
-        nonlocal count, head
-        for op, tag, label, block in ops:
-            if op == _OPEN:
-                if tag == "p" or tag == "li":
-                    while len(stack) > 1 and (stack[-1][0] in ("p", "span", "b", "font", "small") or (tag == "li" and stack[-1][0] == "li")):
+    # open elements: (tag, number, heading before it opened); elements by number: place, parent, label, content
+    stack: list[tuple[str, int, int]] = [("", 0, -1)]
+    place, parent, tags, labels, inner, content = [0], [0], [""], [0], [True], [0]
+    unit_line: list[int] = []
+    unit_run: list[Run] = []
+    unit_in: list[int] = []
+    unit_head: list[int] = []
+    head = -1
+    for number, line in enumerate(text.split("\n"), 1):
+        if not line:
+            continue
+        for op in lines(line):
+            code = op[0]
+            if code == _TEXT:
+                tag, k, _ = stack[-1]
+                if tag in _HEADING and (not unit_in or unit_in[-1] != k):
+                    head = len(unit_in)
+                run = op[1]
+                content[k] = mixed(content[k], run.hash)
+                unit_line.append(number)
+                unit_run.append(run)
+                unit_in.append(k)
+                unit_head.append(head)
+            elif code == _OPEN:
+                label = op[1]
+                closes = _CLOSES.get(label.tag)
+                if closes:
+                    while stack[-1][0] in closes:
                         stack.pop()
-                parent = stack[-1]
-                if block:
-                    inner[parent[3]] = True
-                count += 1
+                above = stack[-1][1]
+                if label.block:
+                    inner[above] = True
+                k = len(place)
+                place.append(lines.path(place[above], label))
+                parent.append(above)
+                tags.append(label.tag)
+                labels.append(label.hash)
                 inner.append(False)
-                stack.append((tag, label if label != tag else "", f"{parent[2]}>{label}", count, block, head))
-            elif op == _CLOSE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
+                content.append(0)
+                stack.append((label.tag, k, head))
+            elif code == _CLOSE:
+                tag = op[1]
+                for at in range(len(stack) - 1, 0, -1):
+                    other = stack[at][0]
+                    if other == tag or (tag in _HEADING and other in _HEADING):
                         if tag not in _HEADING:  # a heading inside an element ends with the element
-                            head = stack[k][5]
-                        del stack[k:]
+                            head = stack[at][2]
+                        del stack[at:]
+                        break
+                    if tag in _ENDED and other not in _ENDED:
                         break
             else:
-                head = -1 if len(stack) <= 3 else stack[-1][5]
-
-    for number, line in enumerate(text.split("\n"), 1):
-        if not line:
-            continue
-        held = known.get(line)
-        if held is None:
-            if len(known) >= CACHED_LINES:
-                known.clear()
-            held = known[line] = _parse(line, kind)
-        if held.before:
-            replay(held.before)
-        if held.text:
-            leaf = stack[-1]
-            if leaf[0] in _HEADING and (not units or units[-1][2] != leaf[3]):
-                head = len(units)
-            units.append((number, held, leaf[3], leaf[1], leaf[2], head))
-        if held.after:
-            replay(held.after)
+                head = -1 if len(stack) <= 3 else stack[-1][2]
         while stack[-1][0] in _ENDED:  # spans and headings left open end with their line
             stack.pop()
-    return [u if not inner[u[2]] else (u[0], u[1], -u[0], "", u[4], u[5]) for u in units]
+    return _hashed_page(html, lines, (place, parent, tags, labels, inner, content), unit_line, unit_run, unit_in, unit_head)
+
+
+def _hashed_page(html, lines, elements, unit_line, unit_run, unit_in, unit_head) -> Page:
+    place, parent, tags, labels, inner, content = elements
+    count, n = len(place), len(unit_in)
+    first, last = [n] * count, [-1] * count
+    chars_in = [0] * count
+    for i, k in enumerate(unit_in):
+        if i < first[k]:
+            first[k] = i
+        last[k] = i
+        chars_in[k] += len(unit_run[i].text)
+    subtree = list(content)
+    rows_inner = [False] * count
+    trees, starts, stops = [], [], []
+    total = sum(chars_in)
+    whole = chars_in[:]
+    for k in range(count - 1, 0, -1):
+        h = subtree[k] = mixed(subtree[k], labels[k])
+        up = parent[k]
+        if inner[k]:
+            rows_inner[up] = True
+        if last[k] >= 0:
+            subtree[up] = mixed(subtree[up] ^ 1, h)
+            if first[k] < first[up]:
+                first[up] = first[k]
+            if last[k] > last[up]:
+                last[up] = last[k]
+            whole[up] += whole[k]
+    seen: set[tuple[int, int]] = set()
+    for k in range(count - 1, 0, -1):
+        # an inner subtree with several smallest ones; what is most of a page is the page itself, not its template
+        if inner[k] and last[k] > first[k] and 2 * whole[k] < total and (first[k], last[k]) not in seen:
+            seen.add((first[k], last[k]))
+            trees.append(subtree[k])
+            starts.append(first[k])
+            stops.append(last[k])
+    m = _TITLE.search(html[: html.find("<body")] if "<body" in html else html)
+    names = set()
+    if m:
+        title = " ".join(unescape(m.group(1)).split())
+        names = {title, *SUFFIX.split(title)} - {""}
+    items, texts, flags, owners, strings = [], [], [], [], []
+    i = 0
+    while i < n:
+        k = unit_in[i]
+        if inner[k]:  # text between blocks: a subtree of its own
+            own, j = -1 - i, i + 1
+        else:
+            own, up = k, parent[k]
+            if tags[k] in _CELL and tags[up] == "tr" and not rows_inner[up]:
+                # a row of data: two cells with text or more, each on one line
+                cells = unit_in[first[up] : last[up] + 1]
+                if len(cells) > 1 and len(set(cells)) == len(cells):
+                    own = up
+            j = i + 1
+            while j < n and (unit_in[j] == k and tags[k] in _WHOLE or (own != k and parent[unit_in[j]] == own)):
+                j += 1
+        if j == i + 1:
+            run = unit_run[i]
+            text, kind, name = run.hash, run.kind, run.text
+        else:
+            name = "\n".join(unit_run[x].text for x in range(i, j))
+            text, kind = hashed(name), residue_kind(name, () if any(not r.marks or not r.marks[0].whole for r in unit_run[i:j]) else unit_run[i].marks)
+        titled = name.replace("\n", " ") in names
+        h = subtree[own] if own > 0 and (own != k or tags[k] in _HEADING) else mixed(text, 1) if titled else text
+        bits = kind << KIND | TITLE * titled
+        for x in range(i, j):
+            at = unit_in[x]
+            b = lines.paths[place[at]][1]
+            if inner[at]:
+                b = b & ~(CLASSED | HEADING) | LOOSE_TEXT
+            items.append(h)
+            texts.append(text)
+            flags.append(b | bits)
+            owners.append(own)
+            strings.append(unit_run[x].text)
+        i = j
+    paths = [lines.paths[place[k]][0] for k in unit_in]
+    marks = [r.marks for r in unit_run]
+    if any(marks):
+        # code over several lines
+        hidden = set()
+        for c in _CODE.finditer(html):
+            if "\n" in c.group():
+                at = html.count("\n", 0, c.start()) + 1
+                hidden.update(range(at, at + c.group().count("\n") + 1))
+        marks = [() if line in hidden else x for line, x in zip(unit_line, marks)]
+    chars = [len(r.text) for r in unit_run]
+    return Page(unit_line, items, texts, paths, flags, unit_head, chars, owners, strings, marks, names, trees, starts, stops)

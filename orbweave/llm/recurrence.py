@@ -42,7 +42,7 @@ def recurring_items(pages: DataFrame, least: int, share: float | None = None, co
         .filter(F.col("c") >= least)
     )
     candidates = (
-        rough.join(sizes, "site")
+        by_site(rough, sizes, key="item")
         .filter(condition)
         .groupBy("site")
         .agg(F.sort_array(F.collect_list("item")).alias("candidates"), F.first("n").alias("n"))

@@ -2,87 +2,60 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html import unescape
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.main_body import host_of, judged, leftovers, page_arrays, site_templates
-from orbweave.llm.pagelines import HIDDEN, TAG
-from orbweave.llm.residue_text import DEFAULT_TITLES, PLACEHOLDER
+from orbweave.llm.main_body import page_arrays, page_bodies
 from orbweave.session import durable
 
-#: Sites on which a title has to recur, unexplained by the page itself, to count as a default.
+#: Sites on which a title has to recur, on pages that do not show it, to count as a default.
 DEFAULT_SITES = 3
-_CODE = re.compile(r"<(code|samp|kbd)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_SUFFIX = re.compile(r"\s+[-–—|:·]+\s+")
-_HINTS = ("{", "[", "@@", "%%", "__", "<%", "&lt;%", "&#", "&l", "&x")
-_FLAGS = "doc bigint, holder boolean, title string, chosen boolean, shown boolean"
-
+#: Records with a slot that holds nothing but a variable, from which the variable is proven; marks in which a name is
+#: used, and records with it, from which the name is.
+PROVEN_RECORDS, PROVEN_STYLES, NAME_RECORDS = 2, 2, 3
 
-def _visible(html: str) -> str:
-    """Visible text in one piece, code samples left out."""
-    return unescape(TAG.sub("", _CODE.sub(" ", HIDDEN.sub(" ", html))))
 
+def slot_variables(pages: DataFrame) -> DataFrame:
+    """(doc) of records in which a slot retains a variable.
 
-def text_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, title, html) to: a placeholder shows; the title, trimmed; it is no default; the page shows it too."""
-    for batch in batches:
-        holder, titles, chosen, shown = [], [], [], []
-        for title, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            bare = HIDDEN.sub(" ", html) if html else ""
-            found = bool(title and PLACEHOLDER.search(title))
-            if not found and bare and any(h in bare for h in _HINTS):
-                found = bool(PLACEHOLDER.search(_visible(html)))
-            name = " ".join(title.split()) if title else ""
-            holder.append(found)
-            titles.append(name or None)
-            # sites often add their name behind a dash or a bar
-            chosen.append(name.lower() not in DEFAULT_TITLES and _SUFFIX.split(name)[0].lower() not in DEFAULT_TITLES)
-            shown.append(bool(name) and name in bare)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(holder), pa.array(titles, pa.string()), pa.array(chosen), pa.array(shown)],
-            ["doc", "holder", "title", "chosen", "shown"],
-        )
+    A slot is the place of a text in the records of a site, or the title. A variable is proven where it is all
+    that slots of several records hold, or where its name stands in different marks: that is how templates
+    are written, and not prose. A proven one counts at the begin or end of a slot's value, in marks of two
+    signs or more anywhere; such marks count at begin and end unproven too. So a path or a set in a text about code does not.
+    """
+    marks = pages.select("doc", F.explode("marks").alias("m")).select("doc", "m.*")
+    marks = durable(marks, "slot-marks")
+    whole = marks.filter("whole").select("token", "doc").distinct().groupBy("token").agg(F.count("*").alias("records"))
+    tokens = whole.filter(F.col("records") >= PROVEN_RECORDS).select("token", F.lit(True).alias("by_token"))
+    uses = marks.filter("whole or edge").groupBy("name", "style").agg(F.count_distinct("doc").alias("records"))
+    names = uses.groupBy("name").agg(F.count("*").alias("styles"), F.sum("records").alias("records"))
+    names = names.filter((F.col("styles") >= PROVEN_STYLES) & (F.col("records") >= NAME_RECORDS)).select("name", F.lit(True).alias("by_name"))
+    known = marks.join(tokens, "token", "left").join(names, "name", "left").withColumn("proven", F.coalesce("by_token", "by_name", F.lit(False)))
+    return known.filter("(whole or edge) and (proven or strong) or strong and proven").select("doc").distinct()
+
+
+def default_titles(pages: DataFrame) -> DataFrame:
+    """(doc) of records whose title is a default: the same on several sites, without what sites add behind a dash or a
+    bar, on pages that do not show it. A title without a letter or digit is a blank one."""
+    key = F.lower(F.regexp_extract("title", r"^(.*?)(?:\s+[-–—|:·]+\s+.*)?$", 1))
+    unseen = pages.filter("title is not null and not shown").select("doc", "site", key.alias("key")).filter(F.col("key").rlike(r"[\p{L}\p{N}]"))
+    common = unseen.select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("sites")).filter(F.col("sites") >= DEFAULT_SITES).select("key")
+    return unseen.join(common, "key", "left_semi").select("doc").distinct()
 
 
 def template_residue(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
     """(id, reason) with reason `placeholder`, `title` or `replaced`; a record may have several reasons.
 
     Records of one host are aligned by its template (see main_body); what is not template fills the slots.
-    `placeholder`: a variable in a template language's marks shows in title or visible text, code samples
-    and scripts left out. `title`: the title is a tool's default, or it recurs on several sites whose
-    pages do not show it. `replaced`: what fills the page's slots is chiefly filler, a trace, placeholders, or a text
-    that stands on otherwise bare pages of several hosts (errors, demands for scripts), or nothing at all.
+    `placeholder`: a slot retains a variable (see slot_variables; code samples and scripts left out). `title`: the
+    title recurs on several sites whose pages do not show it. `replaced`: what fills the page's
+    slots is chiefly filler, a trace, variables, or a text
+    that stands on otherwise bare pages of several hosts (errors, demands for scripts, filler sentences), or nothing but a headline, or nothing at all.
     Null or empty html and a blank title alone are no reason; rows with null id are left out; repeated rows
     are reported once; extra columns are never read; an empty table gives an empty result.
     """
-    known = rows.filter("id is not null")
-    flags = known.select(F.col("id").cast("bigint").alias("doc"), "title", "html").mapInArrow(text_flags, _FLAGS)
-    site = F.coalesce(host_of(F.col("url")), F.col("catalog_id").cast("string"))
-    named = known.select(F.col("id").cast("bigint").alias("doc"), site.alias("site"))
-    flags = durable(flags.filter("holder or not chosen or (title is not null and not shown)"), "residue-flags")
-    common = (
-        flags.filter("title is not null and not shown and chosen")
-        .join(named, "doc")
-        .select("title", "site")
-        .distinct()
-        .groupBy("title")
-        .agg(F.count("*").alias("sites"))
-        .filter(F.col("sites") >= DEFAULT_SITES)
-        .select("title")
-    )
-    by_title = flags.filter("title is not null and not shown and chosen").join(common, "title", "left_semi")
-    pages = page_arrays(rows, catalogs)
-    left = durable(leftovers(pages, site_templates(pages)), "page-rest")
-    replaced = judged(left).filter("2 * content <= all_chars")
-    return (
-        flags.filter("holder").select("doc", F.lit("placeholder").alias("reason"))
-        .unionByName(flags.filter("not chosen").unionByName(by_title).select("doc", F.lit("title").alias("reason")))
-        .unionByName(replaced.select("doc", F.lit("replaced").alias("reason")))
-        .distinct()
-        .withColumnRenamed("doc", "id")
-    )
+    pages = page_arrays(rows, catalogs, residue=True)
+    replaced = page_bodies(pages.filter("size(items) > 0")).filter("2 * content <= all_chars")
+    reasons = (("placeholder", slot_variables(pages)), ("title", default_titles(pages)), ("replaced", replaced))
+    found = [docs.select(F.col("doc").alias("id"), F.lit(reason).alias("reason")) for reason, docs in reasons]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()

@@ -4,12 +4,12 @@ import random
 
 import pytest
 
-from orbweave.llm.blocks import page_units
-from orbweave.llm.main_body import main_contents, main_lines, main_texts, residue_kind
+from orbweave.llm.blocks import CLASSED, Lines, page_units
+from orbweave.llm.main_body import main_contents, main_lines, main_texts
 from orbweave.llm.pagelines import visible_lines
 from orbweave.llm.repeated_lines import boilerplate_blocks, repeated_lines, site_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
-from orbweave.llm.residue_text import PLACEHOLDER
+from orbweave.llm.residue_text import marks_in, residue_kind
 
 PAGES = "id bigint, title string, html string, url string, catalog_id bigint"
 
@@ -24,10 +24,19 @@ def test_visible_lines():
 
 def test_units_follow_the_visible_lines():
     html = "<body>\n<aside><h3>More</h3>\n<p><a href=1>x</a></p>\n</aside><div class=c><p>one\ntwo</p>\nplain\n<span class=m>by</span>\n</div><hr>\ntail</body>"
-    units = page_units(html, lambda t: 0, {})
-    assert [(u[0], u[1].text) for u in units] == visible_lines(html)
-    by = {u[1].text: u for u in units}
-    assert by["x"][5] == 0 and by["one"][5] == -1 and by["one"][2] == by["two"][2] and by["by"][3] == "span.m"
+    page = page_units(html, Lines())
+    assert list(zip(page.lines, page.strings)) == visible_lines(html)
+    at = {text: i for i, text in enumerate(page.strings)}
+    assert page.heads[at["x"]] == 0 and page.heads[at["one"]] == -1 and page.flags[at["by"]] & CLASSED
+    assert page.items[at["one"]] == page.items[at["two"]] and page.owners[at["one"]] == page.owners[at["two"]]
+
+
+def test_subtrees_do_not_depend_on_lines():
+    html = "<body><nav><ul><li>Home</li><li>News</li></ul></nav><main><h1>Title</h1><p>One text.</p><table><tr><td>a</td><td>1</td></tr></table></main></body>"
+    one, many = page_units(html, Lines()), page_units(html.replace("><", ">\n<"), Lines())
+    assert one.items == many.items and one.trees == many.trees and one.paths == many.paths and one.strings == many.strings
+    assert one.items[-1] == one.items[-2]  # a row is one subtree
+    assert (one.starts[-1], one.stops[-1]) == (0, 1)  # the menu
 
 
 def brute_repeated(rows, least=4, tenths=3):
@@ -83,7 +92,7 @@ def test_empty_tables_and_clashing_columns(spark):
     assert main_texts(empty).count() == 0 and without_repeated_lines(empty).count() == 0
     rows = spark.createDataFrame([(i, "t", f"same\nown {i}", f"http://h.test/{i}", 1) for i in range(5)], PAGES)
     extra = rows.selectExpr("*", "1 as site", "2 as doc", "'p' as page", "3 as items", "4 as lines", "'h' as host", "5 as tpl")
-    assert repeated_lines(extra).count() == 5 and main_lines(extra).count() == 0  # nothing but lone short lines is left
+    assert repeated_lines(extra).count() == 5 and main_lines(extra).count() == 5
 
 
 ARTICLE = "The {0} council moved its {1} across the river before the winter came, and nobody in the town of {2} objected to it."
@@ -158,20 +167,97 @@ def test_error_pages_have_no_main_body(spark):
     assert {r.id for r in template_residue(df).filter("reason = 'replaced'").collect()} == {500, 501, 502, 503}
 
 
+def classed(rows):
+    return [(r[0], r[1], r[2].replace("<h1>", '<h1 class="text">').replace("<p>", '<p class="text">'), *r[3:]) for r in rows]
+
+
+def test_articles_with_classes_stay(spark):
+    rows = []
+    for i in range(50):
+        body = "\n".join(f"<p>Sentence {k} of page {i} tells of matter {i * 7 + k}.</p>" for k in range(4))
+        rows.append((i, "t", f"<html><body><nav>\n<ul><li>Home</li></ul>\n</nav>\n<h1>Story {i}</h1>\n{body}\n</body></html>", f"http://c.test/{i}", 1))
+    for pages in (rows, classed(rows)):
+        assert main_lines(spark.createDataFrame(pages, PAGES)).count() == 250
+
+
+def test_a_page_on_one_line_loses_its_menu(spark):
+    rows = [(i, t, html.replace("\n", " "), url, c) for i, t, html, url, c in article_site(50)]
+    texts = {r.id: r.text for r in main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(texts) == 50
+    for text in texts.values():
+        assert "council moved" in text and not any(x in text for x in ("Home", "Weather", "Most read", "Teaser", "All rights", "Share this", "Written by"))
+
+
+def test_short_pages_and_long_error_pages(spark):
+    """A short page with a headline stays; an error page is one however many lines it has."""
+    note = "<html><body>\n<h1>Closed on Monday</h1>\n<p>We are away.</p>\n</body></html>"
+    lines = "\n".join(f"<p>Step {k}: look at the address once more.</p>" for k in range(9))
+    rows = [(i, t, html.replace("</p>\n<p>Share", f" {ARTICLE * 4}</p>\n<p>Share"), u, c) for i, t, html, u, c in article_site(30)]
+    rows += [(300, "Closed on Monday", note, "http://short.test/1", 7)]
+    rows += [(500 + k, "Gone", f"<html><body>\n<h1>Gone</h1>\n{lines}\n</body></html>", f"http://e{k}.test/x", 10 + k) for k in range(4)]
+    df = spark.createDataFrame(rows, PAGES)
+    got = {(r.id, r.line_no) for r in main_lines(df).filter("id >= 300").collect()}
+    assert got == {(300, 2), (300, 3)}
+    assert {r.id for r in template_residue(df).filter("reason = 'replaced'").collect()} == {500, 501, 502, 503}
+
+
+def test_headlines_survive_links_to_them(spark):
+    rows = article_site(12)
+    links = "".join(f"<li><a href='/{i}'>{r[2].split('<h1>')[1].split('<')[0]}</a></li>\n" for i, r in enumerate(rows))
+    rows = [(i, t, html.replace("</main>", f"<ul>{links}</ul></main>"), u, c) for i, t, html, u, c in rows]
+    assert main_lines(spark.createDataFrame(rows, PAGES)).filter("line_no = 7").count() == 12
+
+
 @pytest.mark.parametrize(
-    "text", ["{{ name }}", "{{{page.title}}}", "${user}", "#{x}", "<%= post.date %>", "{% block a %}", "[[company]]", "@@author@@", "%%x%%", "__headline__", "{0}", "{name}", "[INSERT DATE]"]
-)
-def test_placeholders(text):
-    assert PLACEHOLDER.search(f"by {text} today")
+    "text", ["{{ name }}", "{{{page.title}}}", "${user}", "#{x}", "<%= post.date %>", "{% block a %}", "[[company]]", "@@author@@", "%%x%%", "__headline__", "{0}",
+             "{name}", "[INSERT DATE]", "*|FNAME|*", "<<NAME>>", "%NAME%", "[First Name]", "{{" + "long_" * 40 + "name}}"]
+)
+def test_variables(text):
+    for value, whole, edge in ((text, True, True), (f"{text} came today", False, True), (f"by {text} today", False, False)):
+        (mark,) = marks_in(value)
+        assert (mark.token, mark.whole, mark.edge) == (text, whole, edge)
+
+
+@pytest.mark.parametrize("text", ["{}", "{ 1, 2 }", "100% sure, 50% off", "a__b__c", "$5 {", "f(x) = {x | x > 0", "@home", "if (a<b)", "Home | News | About |", "a * b * c"])
+def test_no_variables(text):
+    assert not marks_in(text)
+
 
+def test_variables_in_texts_about_code_are_no_residue(spark):
+    rows = article_site(12)
+    sentences = ["Call __init__ to construct the object.", "GET /users/{id} returns a user.", "Here the set {a} is closed.", "Please use the ${HOME} directory."]
+    for k, sentence in enumerate(sentences):
+        for i in (2 * k, 2 * k + 1):  # each stands in two articles
+            rows[i] = (rows[i][0], rows[i][1], rows[i][2].replace("<p>The", f"<p>{sentence} The"), *rows[i][3:])
+    assert template_residue(spark.createDataFrame(rows, PAGES)).filter("reason = 'placeholder'").count() == 0
 
-@pytest.mark.parametrize("text", ["{}", "{ 1, 2 }", "100% sure", "a__b__c", "[1]", "$5 {", "f(x) = {x | x > 0}", "@home", "if (a<b)", "[see below]"])
-def test_no_placeholders(text):
-    assert not PLACEHOLDER.search(text)
+
+@pytest.mark.parametrize("token", ["*|FNAME|*", "&lt;&lt;NAME&gt;&gt;", "%NAME%", "[First Name]", "__author__", "${user}"])
+def test_variables_left_in_slots_are_residue(spark, token):
+    rows = article_site(12)
+    for i in (1, 4, 6):
+        rows[i] = (rows[i][0], rows[i][1], rows[i][2].replace(f"Written by Person {i}, {i}.1.2024", token), *rows[i][3:])
+    got = template_residue(spark.createDataFrame(rows, PAGES)).filter("reason = 'placeholder'")
+    assert {r.id for r in got.collect()} == {1, 4, 6}
+
+
+@pytest.mark.parametrize("sentence", ["Здесь будет текст", "Sample text goes here", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris"])
+def test_filler_is_known_by_its_recurrence(spark, sentence):
+    rows = []
+    for k in range(4):
+        rows += [(100 * k + r[0], *r[1:3], r[3], k) for r in article_site(8, f"http://h{k}.test")]
+        html = rows[-1][2]
+        rows[-1] = (rows[-1][0], rows[-1][1], html[: html.index("<p>The")] + f"<p>{sentence}</p>\n<p>{sentence}</p>\n<p>Share" + html.split("<p>Share")[1], *rows[-1][3:])
+    got = template_residue(spark.createDataFrame(rows, PAGES)).filter("reason = 'replaced'")
+    assert {r.id for r in got.collect()} == {7, 107, 207, 307}
 
 
 def test_residue_kinds():
-    assert residue_kind("{{a}} - ${b}") == 1 and residue_kind("Price: {{a}}") == 0
+    kind = lambda text: residue_kind(text, marks_in(text))
+    assert kind("{{a}} - ${b}") == 1 and kind("Price: {{a}}") == 0
+    trace = "\n".join(f"at f{k} (/srv/app/view.js:{k}:7)" for k in range(90))
+    assert len(trace) > 2000 and residue_kind(trace) == 3
+    assert residue_kind("The team met ValueError: bad input. " + "Then it went on to other things. " * 20) == 0
     assert residue_kind("Lorem ipsum dolor sit amet consectetur adipiscing") == 2 and residue_kind("El dolor de la mano") == 0
     assert residue_kind("  at render (/srv/app/view.js:854:7)") == 3 and residue_kind("ValueError: bad") == 3
     assert residue_kind('The log said “Fatal error: no database” and stopped.') == 0
@@ -188,8 +274,13 @@ def test_residue_reasons(spark):
     change(1, title="Untitled")
     change(2, title="null - The News")
     change(3, title=" ")
+    change(6, title="-")
     change(4, old="<p class", new="<p><code>{{ x }}</code></p>\n<p class")
     change(5, old="<head>", new="<head><script>var a = '{{ x }}';</script>")
     rows.append((50, "t", None, "http://www.news.test/50", 1))
-    got = {(r.id, r.reason) for r in template_residue(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(3):  # defaults recur on other sites
+        rows += [(100 + 10 * k + i, f"{r[1]} of {k}", *r[2:4], 2 + k) for i, r in enumerate(article_site(3, f"http://h{k}.test"))]
+        rows[-1] = (rows[-1][0], "Untitled", *rows[-1][2:])
+        rows[-2] = (rows[-2][0], "null", *rows[-2][2:])
+    got = {(r.id, r.reason) for r in template_residue(spark.createDataFrame(rows, PAGES)).filter("id < 100").collect()}
     assert got == {(0, "placeholder"), (1, "title"), (2, "title")}
