@@ -49,7 +49,7 @@ _FRAME = frozenset(["nav", "aside", "footer"])
 _CONTENT = _HEADING | frozenset("li td th dt dd caption figcaption blockquote pre".split())
 
 #: Characters of markup whose parse is kept, and of the longest line that is; a cache only, emptied when full.
-CACHED_CHARS, CACHED_LINE = 4_000_000, 4_000
+CACHED_CHARS, CACHED_LINE = 6_000_000, 4_000
 #: Element paths that are kept; emptied when full.
 CACHED_PATHS = 50_000
 _MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
@@ -225,10 +225,11 @@ def page_units(html: str, lines: Lines) -> Page:
     unit_in: list[int] = []
     unit_head: list[int] = []
     head = -1
+    known = lines.held.get
     for number, line in enumerate(text.split("\n"), 1):
         if not line:
             continue
-        for op in lines(line):
+        for op in known(line) or lines(line):
             code = op[0]
             if code == _TEXT:
                 tag, k, _ = stack[-1]

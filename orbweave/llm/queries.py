@@ -5,7 +5,7 @@ from __future__ import annotations
 from orbweave.llm.containers import container_fill, pack, packing_summary
 from orbweave.llm.main_body import main_contents, main_lines, main_texts
 from orbweave.llm.mixing import mix
-from orbweave.llm.mojibake import garbled_fields
+from orbweave.llm.mojibake import chain_rates, garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
@@ -49,6 +49,11 @@ def p4_restored(spark, sf_dir):
     return garbled_fields(table(spark, sf_dir, "crawler_resource"), restore=True)
 
 
+def p4_rates(spark, sf_dir):
+    """What the models find and restore of held-out words garbled on purpose, by chain, and what they flag of clean ones."""
+    return chain_rates(table(spark, sf_dir, "crawler_resource"))
+
+
 def p5_found(spark, sf_dir):
     """Pages whose (catalog_id, url) came before."""
     return seen_before(table(spark, sf_dir, "crawler_resource"))
@@ -119,6 +124,7 @@ QUERIES = {
         p3_contents,
         p4_found,
         p4_restored,
+        p4_rates,
         p5_found,
         p5_rates,
         p6_found,
