@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from orbweave.llm.golomb import GolombSet, add
-from orbweave.llm.seen_keys import seen_before, seen_rates
+from orbweave.llm.seen_keys import _keyed, candidate_records, probe_keys, seen_before, seen_rates
 from orbweave.llm.shared_spans import SPAN, shared_amounts, shared_pairs
 
 KEYS = "id bigint, catalog_id bigint, url string"
@@ -61,6 +62,23 @@ def test_seen_edges(spark):
     assert sorted(r.id for r in seen_before(df).collect()) == [6, 8]
 
 
+def test_new_keys_never_reach_the_exact_check(spark):
+    """Of 30,000 keys 500 come again: only those, and false positives at the theoretical rate, are compared exactly."""
+    df = spark.range(30_500).selectExpr("id", "1 as catalog_id", "cast(id % 30000 as string) as url")
+    base = _keyed(df, ("catalog_id", "url"), "id")
+    flagged = probe_keys(base, shard_keys=1024)
+    candidates = candidate_records(base, flagged)
+    assert 1000 <= candidates.count() <= 1000 + 30_000 * 2**-12 * 4
+    # were nothing flagged, nothing would be found: the sets decide
+    assert candidate_records(base, flagged.withColumn("maybe", F.lit(False))).filter("id >= 30000").count() < 500
+    assert seen_before(df, shard_keys=1024).count() == 500
+
+
+def test_keys_that_share_an_order_value(spark):
+    rows = [(3, 1, "b"), (5, 1, "a"), (5, 1, "b"), (6, 1, "a")]
+    assert sorted(r.id for r in seen_before(spark.createDataFrame(rows, KEYS)).collect()) == [5, 6]
+
+
 def test_audited_rate_keeps_the_bound(spark):
     df = spark.range(30_000).selectExpr("id", "id % 7 as catalog_id", "cast(id as string) as url")
     rates = seen_rates(df, fp_bits=4, shard_keys=1024).first()
