@@ -9,7 +9,7 @@ from orbweave.llm.mojibake import chain_rates, garbled_fields
 from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
-from orbweave.llm.shared_spans import shared_amounts, shared_pairs
+from orbweave.llm.shared_spans import shared_amounts, shared_classes, shared_pairs, shared_stretches
 from orbweave.session import table
 
 
@@ -114,6 +114,16 @@ def p9_shared(spark, sf_dir):
     return shared_amounts(table(spark, sf_dir, "documents"))
 
 
+def p9_spans(spark, sf_dir):
+    """The stretches themselves, by document."""
+    return shared_stretches(table(spark, sf_dir, "documents"))
+
+
+def p9_classes(spark, sf_dir):
+    """Documents by the spans they hold in common, without expanding them to pairs."""
+    return shared_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -136,9 +146,25 @@ QUERIES = {
         p8_shares,
         p9_found,
         p9_shared,
+        p9_spans,
+        p9_classes,
     )
 }
 
+#: Where stretches shared with another document begin and end: every run of 200 code points that two documents have.
+_STRETCHES = """
+WITH spans AS (
+  SELECT doc_id, p, hash(s) AS h1, hash(s || '.') AS h2 FROM (
+    SELECT doc_id, p, substring(text, p, 200) AS s FROM (
+      SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200))
+), common AS (SELECT h1, h2 FROM spans GROUP BY h1, h2 HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT DISTINCT doc_id, p FROM spans JOIN common USING (h1, h2)),
+runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+    SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM hits)),
+stretches AS (SELECT doc_id, min(p) - 1 AS start, max(p) + 199 AS stop FROM runs GROUP BY doc_id, run)
+"""
+
 SQL = {
     "p5_found": """
 SELECT r.id FROM crawler_resource r JOIN (
@@ -154,5 +180,11 @@ WITH spans AS (
 ), common AS (SELECT h1, h2 FROM spans GROUP BY h1, h2 HAVING count(*) > 1),
 hits AS (SELECT s.* FROM spans s JOIN common c ON c.h1 = s.h1 AND c.h2 = s.h2)
 SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM hits a JOIN hits b ON a.h1 = b.h1 AND a.h2 = b.h2 AND a.doc_id < b.doc_id
+""",
+    "p9_spans": _STRETCHES + "SELECT doc_id, start::INT AS start, stop::INT AS stop FROM stretches",
+    "p9_shared": _STRETCHES + """
+SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(c.covered, 0)::BIGINT AS shared_chars,
+  CASE WHEN coalesce(length(d.text), 0) > 0 THEN round(coalesce(c.covered, 0) / length(d.text), 6) ELSE 0.0 END AS shared_share
+FROM documents d LEFT JOIN (SELECT doc_id, sum(stop - start) AS covered FROM stretches GROUP BY doc_id) c USING (doc_id)
 """,
 }

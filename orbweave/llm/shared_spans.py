@@ -4,8 +4,9 @@ Tokens are code points. Of all k-mers (edges of the de Bruijn graph) those are k
 window of W consecutive ones; as SPAN = K + W - 1, every span of SPAN code points holds at least one kept
 k-mer, the same one wherever the span stands. Kept k-mers that stand in two different texts follow each
 other along the texts; runs without branches are compacted to paths through joins on successor and
-predecessor. A path of SPAN code points or more is a shared span; around a shorter one all SPAN-mers that
-hold it are compared, read again from the source coordinates. So no pair is tried that does not share one.
+predecessor. Their source coordinates are then read again: a path of SPAN code points or more is hashed as a
+whole from the text, around a shorter one all SPAN-mers that hold it are compared. So every span is verified by 128 bits
+of the text itself, whatever the 64 bits of a k-mer say, and no pair is tried that does not share one.
 
 Texts that are equal as a whole count once throughout and are expanded at the very end.
 """
@@ -26,6 +27,8 @@ SPAN, K = 200, 110
 W = SPAN - K + 1
 #: Code points hashed at once; longer texts are hashed alone.
 CHUNK = 400_000
+#: Members of a group that meet in one task when its pairs are made.
+BLOCK = 1000
 
 _R1, _R2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
@@ -65,6 +68,14 @@ def gram_hashes(codes: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * down[: len(codes) - size + 1]
 
 
+def span_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hash of the code points from `begin` to `end`, whatever their number, by the same prefix sum."""
+    up, down = powers.upto(len(codes))
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(0x51ED2701)) * up, dtype=np.uint64, out=sums[1:])
+    return (sums[end] - sums[begin]) * down[begin]
+
+
 def sliding(a: np.ndarray, w: int, least: bool) -> np.ndarray:
     """Minimum (or maximum) of every w consecutive values, in linear time."""
     op = np.minimum if least else np.maximum
@@ -126,7 +137,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(every: bool):
-    """(tid, text, starts, stops) to (w1, w2, tid, pos): SPAN-mers that hold a whole stretch, or all that touch one in a k-mer."""
+    """(tid, text, starts, stops) to (w1, w2, size, tid, pos): long stretches as a whole and SPAN-mers that hold a whole short
+    one, or (`every`) all SPAN-mers that share a k-mer with any stretch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Powers(_R1), Powers(_R2)
@@ -134,15 +146,19 @@ def _windows(every: bool):
             for tid, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
                 codes = code_points(text)
                 last = len(codes) - SPAN
+                whole = [] if every else [(s, e) for s, e in zip(starts, stops) if e - s >= SPAN]
                 if every:
                     ranges = [(s - (SPAN - K), e - K) for s, e in zip(starts, stops)]
                 else:
-                    ranges = [(e - SPAN, s) for s, e in zip(starts, stops)]
-                at = np.unique(np.concatenate([np.arange(max(0, a), min(b, last) + 1) for a, b in ranges]))
+                    ranges = [(e - SPAN, s) for s, e in zip(starts, stops) if e - s < SPAN]
+                spans = [np.arange(max(0, a), min(b, last) + 1) for a, b in ranges]
+                at = np.unique(np.concatenate(spans)) if spans else np.empty(0, dtype=np.int64)
+                begin = np.concatenate([[s for s, _ in whole], at]).astype(np.int64)
+                end = np.concatenate([[e for _, e in whole], at + SPAN]).astype(np.int64)
                 with np.errstate(over="ignore"):
-                    w1, w2 = (mixed(gram_hashes(codes, SPAN, p)[at]).view(np.int64) for p in (one, two))
-                columns = [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), tid)), pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "tid", "pos"])
+                    w1, w2 = (mixed(span_hashes(codes, begin, end, p)).view(np.int64) for p in (one, two))
+                columns = [pa.array(w1), pa.array(w2), pa.array((end - begin).astype(np.int32)), pa.array(np.full(len(begin), tid)), pa.array(begin.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "size", "tid", "pos"])
 
     return cut
 
@@ -156,7 +172,7 @@ def _texts(rows: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def shared_paths(texts: DataFrame) -> DataFrame:
-    """(path, tid, start, stop): occurrences of compacted paths of k-mers that two different texts share."""
+    """(tid, start, stop): occurrences of compacted paths of k-mers that two different texts share."""
     grams = durable(texts.select("tid", "text").mapInArrow(_kept, "h bigint, tid bigint, pos int"), "kept-grams")
     common = grams.groupBy("h").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("h")
     hits = durable(grams.join(common, "h", "left_semi").dropDuplicates(["tid", "pos"]), "common-grams")
@@ -180,43 +196,33 @@ def shared_paths(texts: DataFrame) -> DataFrame:
     return (
         joined.withColumn("path_no", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(along))
         .groupBy("tid", "path_no")
-        .agg(F.min(F.struct("pos", "h")).alias("head"), F.max("pos").alias("last"))
-        .select(
-            F.xxhash64("head.h", F.col("last") - F.col("head.pos")).alias("path"),
-            "tid",
-            F.col("head.pos").alias("start"),
-            (F.col("last") + K).alias("stop"),
-        )
+        .agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
+        .select("tid", "start", (F.col("last") + K).alias("stop"))
     )
 
 
 def span_windows(texts: DataFrame, stretches: DataFrame, every: bool = False) -> DataFrame:
-    """(w1, w2, tid, pos) of the SPAN-mers of each text that hold one of its stretches (tid, start, stop).
+    """(w1, w2, size, tid, pos), 128 hash bits read from the source coordinates of stretches (tid, start, stop).
 
-    Texts that share a stretch and SPAN code points around it share a SPAN-mer that holds it whole. With `every`
-    also those that hold only a k-mer of a stretch, so that all shared code points are covered.
+    A stretch of SPAN code points or more is hashed as a whole; texts that share a shorter one and SPAN code points around it
+    share a SPAN-mer that holds it whole. With `every` all SPAN-mers that hold a k-mer of a stretch, so that all
+    shared code points are covered.
     """
     wanted = stretches.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     first = texts.groupBy("tid").agg(F.min("doc").alias("doc"))  # one copy of each text is read
     chosen = wanted.join(first, "tid").select("doc", "starts", "stops")
-    return texts.join(chosen, "doc").select("tid", "text", "starts", "stops").mapInArrow(_windows(every), "w1 bigint, w2 bigint, tid bigint, pos int")
+    schema = "w1 bigint, w2 bigint, size int, tid bigint, pos int"
+    return texts.join(chosen, "doc").select("tid", "text", "starts", "stops").mapInArrow(_windows(every), schema)
 
 
-def shared_pairs(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs (doc_1, doc_2), doc_1 < doc_2, of records that share SPAN code points or more in one stretch.
+def span_classes(texts: DataFrame) -> DataFrame:
+    """(k1, k2, tid): spans that several texts share, with the texts that hold them.
 
-    Every character counts, line breaks included. Null or shorter texts are in no pair; repeats inside one
-    record do not count; records with equal texts of SPAN code points pair up; repeated rows with one id
-    give no pair with themselves; extra columns are never read; an empty table gives an empty result. Equal
-    stretches are told by 128 hash bits, equal texts by 64.
+    Neighbouring windows mostly have the same texts: of all spans with one set of texts a single one stays, so every
+    two texts that share a span are together in a class. This is the operator's compact form; pairs are made from it.
     """
-    texts = _texts(rows, doc, text)
-    paths = durable(shared_paths(texts), "shared-paths")
-    long = paths.filter(F.col("stop") - F.col("start") >= SPAN).select(F.col("path").alias("k1"), F.lit(0).cast("bigint").alias("k2"), "tid")
-    windows = span_windows(texts, paths.filter(F.col("stop") - F.col("start") < SPAN).select("tid", "start", "stop"))
-    windows = durable(windows.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "tid"), "span-windows")
-    keyed = long.unionByName(windows).distinct()
-    # neighbouring windows mostly have the same texts: of all keys with one set of texts a single one pairs them
+    windows = durable(span_windows(texts, shared_paths(texts)).select("w1", "w2", "size", "tid"), "span-windows")
+    keyed = windows.select(F.xxhash64("w1", "size").alias("k1"), F.xxhash64("w2", "size", F.lit(9)).alias("k2"), "tid").distinct()
     sets = (
         keyed.groupBy("k1", "k2")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(5))).alias("y"))
@@ -225,13 +231,36 @@ def shared_pairs(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
         .agg(F.min(F.struct("k1", "k2")).alias("k"))
         .select("k.k1", "k.k2")
     )
-    members = durable(keyed.join(sets, ["k1", "k2"], "left_semi"), "span-members")
-    a, b = members.withColumnRenamed("tid", "t1"), members.withColumnRenamed("tid", "t2")
-    pairs = a.join(b, ["k1", "k2"]).filter("t1 < t2").select("t1", "t2").distinct()
+    return durable(keyed.join(sets, ["k1", "k2"], "left_semi"), "span-members")
+
+
+def pairs_within(members: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """All (a, b), a < b, of members of one group, each pair once a group.
+
+    A group of n members is cut into n / BLOCK blocks by hash, and each two of its blocks meet in a task of their own: no task
+    makes more than about BLOCK * BLOCK pairs, however large the group.
+    """
+    sizes = members.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64(member, F.lit(7)), F.col("blocks")).cast("int"))
+    left = cut.select(*keys, F.col(member).alias("a"), F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+    right = cut.select(*keys, F.col(member).alias("b"), F.col("block").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"))
+    return left.join(right, [*keys, "i", "j"]).filter("a < b").select(*keys, "a", "b")
+
+
+def shared_pairs(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs (doc_1, doc_2), doc_1 < doc_2, of records that share SPAN code points or more in one stretch.
+
+    Every character counts, line breaks included. Null or shorter texts are in no pair; repeats inside one
+    record do not count; records with equal texts of SPAN code points pair up; repeated rows with one id
+    give no pair with themselves; extra columns are never read; an empty table gives an empty result. Equal
+    stretches are told by 128 hash bits of the text, equal texts by 64.
+    """
+    texts = _texts(rows, doc, text)
+    between = pairs_within(span_classes(texts), ["k1", "k2"], "tid").select("a", "b").distinct()
     docs = durable(texts.select("tid", "doc").distinct(), "text-ids")
-    left, right = docs.toDF("t1", "d1"), docs.toDF("t2", "d2")
-    between = pairs.join(left, "t1").join(right, "t2").select("d1", "d2")
-    copies = left.join(right, F.col("t1") == F.col("t2")).filter("d1 < d2").select("d1", "d2")
+    left, right = docs.toDF("a", "d1"), docs.toDF("b", "d2")
+    between = between.join(left, "a").join(right, "b").select("d1", "d2")
+    copies = pairs_within(docs, ["tid"], "doc").select(F.col("a").alias("d1"), F.col("b").alias("d2"))
     return (
         between.unionByName(copies)
         .select(F.least("d1", "d2").alias(f"{doc}_1"), F.greatest("d1", "d2").alias(f"{doc}_2"))
@@ -240,34 +269,52 @@ def shared_pairs(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def shared_amounts(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_chars, shared_chars, shared_share) of every record with a non-null id.
+def shared_classes(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(class_id, members, doc): classes of records that hold one and the same span, one row a record and class.
 
-    `shared_chars` counts the code points inside stretches of SPAN or more that another record has too; a
-    record whose whole text another record has is shared throughout. Null and short texts share nothing.
+    Records with equal texts are in the classes of their text, and make up a class of their own if in no other.
     """
     texts = _texts(rows, doc, text)
-    windows = durable(span_windows(texts, shared_paths(texts).select("tid", "start", "stop"), True), "span-windows")
+    docs = durable(texts.select("tid", "doc").distinct(), "text-ids")
+    spans = span_classes(texts).select(F.xxhash64("k1", "k2").alias("class_id"), "tid")
+    copies = docs.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").join(spans, "tid", "left_anti").select(F.col("tid").alias("class_id"), "tid")
+    held = durable(spans.unionByName(copies).join(docs, "tid").select("class_id", F.col("doc").alias(doc)), "class-members")
+    return held.join(held.groupBy("class_id").agg(F.count("*").alias("members")), "class_id").select("class_id", "members", doc)
+
+
+def shared_stretches(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, start, stop): the longest stretches of each record (code points from 0, stop not included) all of whose code points
+    are in a span of SPAN or more that another record has too. Of repeated rows with one id and text one counts."""
+    texts = _texts(rows, doc, text)
+    windows = durable(span_windows(texts, shared_paths(texts), True).drop("size"), "span-windows")
     common = windows.groupBy("w1", "w2").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b")
     along = Window.partitionBy("tid").orderBy("pos")
-    covered = (
+    runs = (
         windows.join(common, ["w1", "w2"], "left_semi")
         .select("tid", "pos")
         .distinct()
-        .withColumn("new", F.least(F.lit(SPAN), F.coalesce(F.col("pos") - F.lag("pos").over(along), F.lit(SPAN))))
-        .groupBy("tid")
-        .agg(F.sum("new").alias("covered"))
+        .withColumn("new", F.when(F.col("pos") - F.lag("pos").over(along) <= SPAN, 0).otherwise(1))
+        .withColumn("run", F.sum("new").over(along))
+        .groupBy("tid", "run")
+        .agg(F.min("pos").alias("start"), (F.max("pos") + SPAN).alias("stop"))
     )
-    copies = texts.select("tid", "doc").distinct().groupBy("tid").agg(F.count("*").alias("copies"))
-    known = rows.select(F.col(doc).cast("bigint").alias("doc"), F.length(text).alias("n"), F.when(F.length(text) >= SPAN, F.xxhash64(text)).alias("tid"))
+    docs = durable(texts.select("tid", "doc", F.length("text").alias("n")).distinct(), "text-ids")
+    copies = docs.groupBy("tid").agg(F.count("*").alias("copies"), F.max("n").alias("n")).filter("copies > 1")
+    whole = copies.select("tid", F.lit(0).alias("start"), F.col("n").alias("stop"))
+    found = runs.drop("run").join(copies.select("tid"), "tid", "left_anti").unionByName(whole)
+    return docs.join(found, "tid").select(F.col("doc").alias(doc), "start", "stop")
+
+
+def shared_amounts(rows: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_chars, shared_chars, shared_share) of every record with a non-null id.
+
+    `shared_chars` counts the code points inside stretches of SPAN or more that another record has too; a
+    record whose whole text another record has is shared throughout. Null and short texts share nothing.
+    """
+    covered = shared_stretches(rows, doc, text).groupBy(doc).agg(F.sum(F.col("stop") - F.col("start")).alias("covered"))
+    known = rows.select(F.col(doc).cast("bigint").alias(doc), F.length(text).alias("n")).filter(F.col(doc).isNotNull())
     return (
-        known.filter("doc is not null")
-        .join(covered, "tid", "left")
-        .join(copies, "tid", "left")
-        .select(
-            F.col("doc").alias(doc),
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chars"),
-            F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint").alias("shared_chars"),
-        )
+        known.join(covered, doc, "left")
+        .select(doc, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce("covered", F.lit(0)).cast("bigint").alias("shared_chars"))
         .withColumn("shared_share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
     )

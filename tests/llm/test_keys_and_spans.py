@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.golomb import GolombSet, add
 from orbweave.llm.seen_keys import _keyed, candidate_records, probe_keys, seen_before, seen_rates
-from orbweave.llm.shared_spans import SPAN, shared_amounts, shared_pairs
+from orbweave.llm import shared_spans
+from orbweave.llm.shared_spans import SPAN, pairs_within, shared_amounts, shared_classes, shared_pairs, shared_stretches
 
 KEYS = "id bigint, catalog_id bigint, url string"
 
@@ -130,6 +131,10 @@ def test_shared_spans_against_brute_force(spark, seed):
     df = spark.createDataFrame(rows, DOCS)
     got = [tuple(r) for r in shared_pairs(df).collect()]
     assert set(got) == brute_pairs(rows) and len(got) == len(set(got))
+    classes = {}
+    for r in shared_classes(df).collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {(a, b) for docs in classes.values() for a in docs for b in docs if a < b} == brute_pairs(rows)
     if seed == 0:
         amounts = {r.doc_id: r for r in shared_amounts(df.filter("doc_id <> 108")).collect()}
         kept = [x for x in rows if x[0] != 108]
@@ -138,6 +143,33 @@ def test_shared_spans_against_brute_force(spark, seed):
             assert amounts[i].n_chars == len(t or "")
 
 
+def test_stretches_are_where_they_are(spark):
+    r = random.Random(9)
+    fresh = lambda n: "".join(r.choice("abcdefgh \n日本é") for _ in range(n))
+    a, b = fresh(250), fresh(400)
+    rows = [(1, "x" * 10 + a + "|" + b), (2, a + "~"), (3, "12" + b), (4, a[:199] + "#"), (5, "q" * 300), (6, "q" * 300)]
+    got = {(x.doc_id, x.start, x.stop) for x in shared_stretches(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {(1, 10, 260), (1, 261, 661), (2, 0, 250), (3, 2, 402), (5, 0, 300), (6, 0, 300)}
+
+
+def test_long_spans_are_verified_from_the_text(spark, monkeypatch):
+    """Even if all k-mers had one hash, texts that differ would not pair."""
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(400))) for i in range(6)]
+    df = spark.createDataFrame([*rows, (6, rows[0][1] + "tail")], DOCS)
+    texts = shared_spans._texts(df, "doc_id", "text")
+    wrong = texts.select("tid", F.lit(0).alias("start"), F.lit(400).alias("stop"))  # as if a path ran through all of them
+    monkeypatch.setattr(shared_spans, "shared_paths", lambda _: wrong)
+    assert [tuple(x) for x in shared_pairs(df).collect()] == [(0, 6)]
+
+
+def test_pairs_of_a_large_group_are_split(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "BLOCK", 7)
+    members = spark.range(60).selectExpr("1 as k", "id as m").unionByName(spark.range(3).selectExpr("2 as k", "id as m"))
+    got = [tuple(x) for x in pairs_within(members, ["k"], "m").collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2 + 3 and all(a < b for _, a, b in got)
+
+
 def test_spans_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert shared_pairs(empty).count() == 0 and shared_amounts(empty).count() == 0
