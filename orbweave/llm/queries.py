@@ -6,7 +6,7 @@ from orbweave.llm.containers import container_fill, pack, packing_summary
 from orbweave.llm.main_body import main_contents, main_lines, main_texts
 from orbweave.llm.mixing import mix
 from orbweave.llm.mojibake import chain_rates, garbled_fields
-from orbweave.llm.repeated_lines import repeated_lines, without_repeated_lines
+from orbweave.llm.repeated_lines import repeated_blocks, repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.seen_keys import seen_before, seen_rates
 from orbweave.llm.shared_spans import shared_amounts, shared_classes, shared_pairs, shared_stretches
@@ -23,6 +23,11 @@ def p2_cleaned(spark, sf_dir):
     return without_repeated_lines(table(spark, sf_dir, "crawler_resource"))
 
 
+def p2_blocks(spark, sf_dir):
+    """The boilerplate blocks with their support and text."""
+    return repeated_blocks(table(spark, sf_dir, "crawler_resource"))
+
+
 def p3_found(spark, sf_dir):
     """Lines of each page's main body."""
     return main_lines(table(spark, sf_dir, "crawler_resource"), table(spark, sf_dir, "crawler_catalog"))
@@ -129,6 +134,7 @@ QUERIES = {
     for query in (
         p2_found,
         p2_cleaned,
+        p2_blocks,
         p3_found,
         p3_texts,
         p3_contents,

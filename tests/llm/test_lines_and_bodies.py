@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from orbweave.llm.blocks import CLASSED, Lines, page_units
 from orbweave.llm.main_body import main_contents, main_lines, main_texts
 from orbweave.llm.pagelines import visible_lines
-from orbweave.llm.repeated_lines import boilerplate_blocks, repeated_lines, site_lines, without_repeated_lines
+from orbweave.llm.repeated_lines import boilerplate_blocks, components, repeated_blocks, repeated_lines, site_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
 from orbweave.llm.residue_text import marks_in, residue_kind
 
@@ -80,6 +81,28 @@ def test_blocks_are_components_of_consecutive_lines(spark):
     assert len(site["items"]) == 4 and len(set(site["blocks"])) == 2
 
 
+def test_components():
+    r = random.Random(2)
+    for n in (1, 5, 60, 300):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(n // 2 + 1)]
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        assert components(*(np.array(x) for x in zip(*edges)), n).tolist() == root
+    chain = np.arange(999)
+    assert components(chain, chain + 1, 1000).tolist() == [0] * 1000
+
+
+def test_block_texts_and_weights(spark):
+    rows = [(i, "t", f"<nav>\n<a>Home</a>\n<a>News</a>\n</nav>\n<p>own {i}</p>\n<p>Legal</p>", f"u{i}", c) for c in (1, 2) for i in range(10 * c, 10 * c + 6)]
+    got = {(r.catalog_id, r.text): (r.nodes, r.support, r.edges, r.weight, r.occurrences) for r in repeated_blocks(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {(c, t): x for c in (1, 2) for t, x in (("Home\nNews", (2, 6, 1, 6, 6)), ("Legal", (1, 6, 0, 0, 6)))}
+    lines = repeated_lines(spark.createDataFrame(rows, PAGES)).collect()
+    assert len({(r.id, r.line_no) for r in lines}) == 36 and len({r.block for r in lines}) == 2
+    assert repeated_blocks(spark.createDataFrame([], PAGES)).count() == 0
+
+
 def test_removal_keeps_the_rest(spark):
     rows = [(i, "t", f"menu\r\n<p>text {i}</p>\nfoot", f"u{i}", 1) for i in range(5)] + [(7, "t", None, "u7", 1), (8, "t", "", None, 1)]
     got = {r.id: (r.removed, r.html) for r in without_repeated_lines(spark.createDataFrame(rows, PAGES)).collect()}
