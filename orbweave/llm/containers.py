@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from orbweave.session import durable
 #: Steps of the grid on which patterns are enumerated; least buckets over which items of one length are ranked,
 #: and records from which there are more of them.
 GRID, RANK_BUCKETS, BUCKET_ROWS = 256, 64, 200_000
+#: Shares of the fitted repeats that are tried; the fewest containers win.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 
 
 def patterns_of(grid: int) -> np.ndarray:
@@ -29,8 +32,20 @@ def patterns_of(grid: int) -> np.ndarray:
     return np.array([(a, b, grid - a - b) for a in range(grid // 3 + 1) for b in range(a, (grid - a) // 2 + 1)], dtype=np.int64)
 
 
-def fit(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 400, tolerance: float = 1e-3) -> np.ndarray:
-    """Non-negative least squares (active set, Lawson and Hanson 1974) of pattern repeats against counts by length."""
+class Fit(NamedTuple):
+    """Pattern repeats, the share of the wanted counts they leave unmet or exceed, and whether no pattern could improve them."""
+
+    repeats: np.ndarray
+    residual: float
+    converged: bool
+
+
+def fit(patterns: np.ndarray, wanted: np.ndarray, tolerance: float = 1e-6) -> Fit:
+    """Non-negative least squares (active set, Lawson and Hanson 1974) of pattern repeats against counts by length.
+
+    Every round at least one pattern enters; a solution has at most one pattern a length, so ten rounds a length are
+    ample, and `converged` says whether they were.
+    """
     n, m = len(patterns), len(wanted)
     matrix = np.zeros((m, n))
     for place in range(patterns.shape[1]):
@@ -40,32 +55,35 @@ def fit(patterns: np.ndarray, wanted: np.ndarray, rounds: int = 400, tolerance:
     target = wanted.astype(float).copy()
     target[0] = 0
     scale = max(1.0, float(target.max()))
-    for _ in range(rounds):
+    converged = not n
+    for _ in range(10 * m if n else 0):
         slope = matrix.T @ (target - matrix @ x)
         slope[active] = -np.inf
         # several well separated columns may enter at once; the inner loop takes back what turns negative
-        best = np.argsort(slope)[::-1][:4]
+        best = np.argpartition(slope, -min(4, n))[-min(4, n) :]
         best = best[slope[best] > tolerance * scale]
         if not len(best):
+            converged = True
             break
         active[best] = True
-        for _ in range(rounds):
+        while active.any():
             at = np.flatnonzero(active)
             solution = np.linalg.lstsq(matrix[:, at], target, rcond=None)[0]
-            if (solution > 1e-9).all():
-                break
             negative = solution <= 1e-9
+            if not negative.any():
+                break
             step = np.min(x[at][negative] / np.maximum(x[at][negative] - solution[negative], 1e-12), initial=1.0)
             x[at] += step * (solution - x[at])
-            active[at[negative & (x[at] <= 1e-9)]] = False
+            out = negative & (x[at] <= 1e-9)
+            # at least the worst leaves, so the loop ends
+            out[np.argmin(np.where(negative, x[at], np.inf))] = True
+            active[at[out]] = False
             x[~active] = 0
-            if not active.any():
-                break
-        at = np.flatnonzero(active)
-        if len(at):
-            x[:] = 0
-            x[at] = np.maximum(solution, 0) if len(solution) == len(at) else 0
-    return x
+        x[:] = 0
+        if active.any():
+            x[at] = solution
+    missed = np.abs(target - matrix @ x).sum() / max(1.0, target.sum())
+    return Fit(x, float(missed), converged)
 
 
 def _take(runs: list[list[int]], count: int) -> list[tuple[int, int]]:
@@ -83,25 +101,59 @@ def _take(runs: list[list[int]], count: int) -> list[tuple[int, int]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, grid: int = GRID) -> list[tuple[tuple[int, ...], int]]:
-    """Groups (lengths in one container, number of such containers) that hold every item of the histogram.
+class Plan(NamedTuple):
+    """Groups (lengths in one container, number of such containers); the share of the fitted repeats they use, containers
+    that best fit alone would take, and how well the patterns meet the histogram."""
+
+    groups: list[tuple[tuple[int, ...], int]]
+    share: float
+    best_fit: int
+    residual: float
+    converged: bool
+
+
+def plan(histogram: dict[int, int], capacity: int, grid: int = GRID) -> Plan:
+    """Containers that hold every item of the histogram; lengths run from 1 to capacity. Deterministic in the histogram.
 
-    Lengths run from 1 to capacity. Deterministic in the histogram.
+    Patterns of up to three lengths that fill a container are fitted to the histogram; capacities up to twice the grid are
+    enumerated length by length, larger ones in steps. Of the shares of SHARES of the repeats the one with the fewest
+    containers is taken, residuals packed by best fit; share 0 is best fit alone, so the plan is never worse.
     """
-    grid = max(1, min(grid, capacity // 2))
-    unit = -(-capacity // grid)
+    unit = 1 if capacity <= 2 * grid else -(-capacity // grid)
     steps = capacity // unit
+    wanted = np.zeros(steps + 2, dtype=np.int64)
+    for length, n in histogram.items():
+        wanted[min(-(-length // unit), steps + 1)] += n
+    patterns = patterns_of(steps)
+    patterns = patterns[((patterns == 0) | (wanted[patterns] > 0)).all(axis=1)]
+    fitted = fit(patterns, wanted[: steps + 1])
+    plans = {share: _filled(histogram, capacity, unit, patterns, share * fitted.repeats) for share in SHARES}
+    counts = {share: sum(n for _, n in groups) for share, groups in plans.items()}
+    best = min(SHARES, key=lambda share: (counts[share], -share))
+    return Plan(plans[best], best, counts[0.0], fitted.residual, fitted.converged)
+
+
+def least_containers(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound (Martello and Toth 1990): items above half a container need one each, and what is too large for the room
+    beside them needs more."""
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
+    best = 0
+    for least in {0, *lengths[2 * lengths <= capacity].tolist()}:
+        alone, large = lengths > capacity - least, (2 * lengths > capacity) & (lengths <= capacity - least)
+        small = (2 * lengths <= capacity) & (lengths >= least)
+        room = int((counts[large] * (capacity - lengths[large])).sum())
+        beyond = int((counts[small] * lengths[small]).sum()) - room
+        best = max(best, int(counts[alone].sum() + counts[large].sum()) + max(0, -(-beyond // capacity)))
+    return best
+
+
+def _filled(histogram: dict[int, int], capacity: int, unit: int, patterns: np.ndarray, repeats: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as their rounded repeats and the items allow, then all other items by best fit."""
     bins: dict[int, list[list[int]]] = defaultdict(list)
     for length in sorted(histogram):
         if histogram[length]:
             bins[-(-length // unit)].append([length, histogram[length]])
-    wanted = np.zeros(steps + 2, dtype=np.int64)
-    for b, runs in bins.items():
-        wanted[min(b, steps + 1)] += sum(n for _, n in runs)
-    patterns = patterns_of(steps)
-    usable = ((patterns == 0) | (wanted[patterns] > 0)).all(axis=1)
-    patterns = patterns[usable]
-    repeats = fit(patterns, wanted[: steps + 1]) if len(patterns) else np.zeros(0)
     groups: list[list] = []  # [lengths, containers, room]
     for k in np.argsort(-repeats):
         parts = [int(b) for b in patterns[k] if b]
@@ -246,7 +298,7 @@ def pack(
     for spec, length, n in counted.filter("tokens > 0").groupBy("spec_id", "tokens").agg(F.sum("n")).collect():
         histograms[spec][length] = n
     for spec, capacity in wanted:
-        groups = plan(histograms[spec], capacity, grid)
+        groups = plan(histograms[spec], capacity, grid).groups
         totals[spec] = sum(n for _, n in groups)
         if groups:
             tables[spec] = _places(groups)
@@ -260,11 +312,41 @@ def container_fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     return filled.join(specs.select("spec_id", "capacity_tokens"), "spec_id").withColumn("fill", F.round(F.col("tokens") / F.col("capacity_tokens"), 6))
 
 
-def packing_summary(packed: DataFrame, specs: DataFrame) -> DataFrame:
-    """Per spec: containers used, the fewest that the tokens alone would need, and the mean fill."""
-    filled = container_fill(packed, specs)
-    return filled.groupBy("spec_id", "capacity_tokens").agg(
-        F.count("*").alias("containers"),
-        F.ceil(F.sum("tokens") / F.first("capacity_tokens")).alias("least_containers"),
-        F.round(F.sum("tokens") / F.sum("capacity_tokens"), 6).alias("mean_fill"),
+def packing_summary(packed: DataFrame, specs: DataFrame, grid: int = GRID) -> DataFrame:
+    """Per spec: containers used, the fewest possible by a proven bound, those that best fit alone would take, the mean fill, and how
+    the patterns met the histogram: the share of their repeats used, what they left unmet of it, and whether the fit ended.
+
+    Histograms (at most `capacity` bins a spec) come to the driver; the result has one row a spec.
+    """
+    histograms: dict[int, dict[int, int]] = defaultdict(dict)
+    for spec, length, n in packed.filter("tokens > 0").groupBy("spec_id", "tokens").agg(F.count("*")).collect():
+        histograms[spec][length] = n
+    capacities = {s: c for s, c in specs.select("spec_id", "capacity_tokens").collect() if s in histograms}
+    used = {r.spec_id: r.n for r in packed.groupBy("spec_id").agg(F.count_distinct("container").alias("n")).collect()}
+    rows = []
+    for spec, capacity in sorted(capacities.items()):
+        h, best = histograms[spec], plan(histograms[spec], capacity, grid)
+        fill = sum(k * n for k, n in h.items()) / (used[spec] * capacity)
+        rows.append((spec, capacity, used[spec], least_containers(h, capacity), best.best_fit, round(fill, 6), best.share, round(best.residual, 6), best.converged))
+    schema = (
+        "spec_id int, capacity_tokens int, containers bigint, least_containers bigint, best_fit_containers bigint, mean_fill double,"
+        " pattern_share double, residual double, converged boolean"
+    )
+    return packed.sparkSession.createDataFrame(rows, schema)
+
+
+def packing_checks(packed: DataFrame, specs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per spec what must hold: records placed, and 0 each of containers over their capacity, records cut though they fit, and
+    records whose parts are not full but for the last."""
+    limits = specs.select("spec_id", F.col("capacity_tokens").alias("capacity"))
+    over = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("load")).join(limits, "spec_id")
+    over = over.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    whole = packed.groupBy("spec_id", doc).agg(
+        F.count("*").alias("parts"), F.count_if(F.col("part") == 0).alias("copies"), F.sum("tokens").alias("size"), F.min("tokens").alias("least")
+    )
+    counted = whole.join(limits, "spec_id").groupBy("spec_id").agg(
+        F.sum("copies").alias("documents"),
+        F.count_if((F.col("copies") == 1) & (F.col("parts") > 1) & (F.col("size") <= F.col("capacity"))).alias("torn"),
+        F.count_if((F.col("copies") == 1) & (F.col("size") <= (F.col("parts") - 1) * F.col("capacity")) & (F.col("parts") > 1)).alias("loose"),
     )
+    return counted.join(over, "spec_id").select("spec_id", "documents", "overfull", "torn", "loose")

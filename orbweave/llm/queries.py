@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.llm.containers import container_fill, pack, packing_summary
+from orbweave.llm.containers import container_fill, pack, packing_checks, packing_summary
 from orbweave.llm.main_body import main_contents, main_lines, main_texts
-from orbweave.llm.mixing import mix
+from orbweave.llm.mixing import mix, mixture_checks
 from orbweave.llm.mojibake import chain_rates, garbled_fields
 from orbweave.llm.repeated_lines import repeated_blocks, repeated_lines, without_repeated_lines
 from orbweave.llm.residue import template_residue
@@ -99,6 +99,11 @@ def p7_summary(spark, sf_dir):
     return packing_summary(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
+def p7_checks(spark, sf_dir):
+    """What must hold of the packing."""
+    return packing_checks(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
 def p8_drawn(spark, sf_dir):
     """Documents drawn for the mixture, with their copies."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -109,6 +114,11 @@ def p8_shares(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_checks(spark, sf_dir):
+    """What must hold of the mixture."""
+    return mixture_checks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark, sf_dir):
     """Pairs of documents that share 200 code points or more in one stretch."""
     return shared_pairs(table(spark, sf_dir, "documents"))
@@ -148,8 +158,10 @@ QUERIES = {
         p7_packed,
         p7_containers,
         p7_summary,
+        p7_checks,
         p8_drawn,
         p8_shares,
+        p8_checks,
         p9_found,
         p9_shared,
         p9_spans,
@@ -172,6 +184,11 @@ stretches AS (SELECT doc_id, min(p) - 1 AS start, max(p) + 199 AS stop FROM runs
 """
 
 SQL = {
+    "p7_checks": """
+SELECT spec_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS torn, 0::BIGINT AS loose
+FROM container_specs
+""",
+    "p8_checks": "SELECT DISTINCT source, 0::BIGINT AS too_often, 0::BIGINT AS twice, 0::BIGINT AS strange FROM mix_targets",
     "p5_found": """
 SELECT r.id FROM crawler_resource r JOIN (
   SELECT catalog_id, url, min(id) AS first_id FROM crawler_resource

@@ -6,8 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from orbweave.llm.containers import container_fill, fit, pack, packing_summary, patterns_of, plan
-from orbweave.llm.mixing import _transfer, mix
+from orbweave.llm.containers import container_fill, fit, least_containers, pack, packing_checks, packing_summary, patterns_of, plan
+from orbweave.llm.mixing import _transfer, mix, mixture_checks
 from orbweave.llm.tokens import token_sizes
 
 DOCS = "doc_id bigint, text string, source string"
@@ -19,7 +19,7 @@ SPECS = "spec_id int, capacity_tokens int, purpose string"
 def test_plans_hold_every_item(seed, capacity):
     r = random.Random(seed)
     h = {r.randint(1, capacity): r.randint(1, 300) for _ in range(r.randint(0, 60))}
-    groups = plan(h, capacity)
+    groups = plan(h, capacity).groups
     got = Counter()
     for lengths, n in groups:
         assert n > 0 and sum(lengths) <= capacity
@@ -34,7 +34,7 @@ def test_plans_are_tight():
     r = np.random.default_rng(3)
     h = Counter(np.clip(np.exp(r.normal(5.4, 0.7, 20_000)).astype(int), 1, 1024).tolist())
     need = sum(k * n for k, n in h.items())
-    assert need / (1024 * sum(n for _, n in plan(h, 1024))) > 0.985
+    assert need / (1024 * sum(n for _, n in plan(h, 1024).groups)) > 0.985
 
 
 def test_fit_recovers_pattern_counts():
@@ -43,13 +43,35 @@ def test_fit_recovers_pattern_counts():
     for p, n in ((patterns[5], 40), (patterns[11], 7)):
         np.add.at(wanted, p, n)
     wanted[0] = 0
-    x = fit(patterns, wanted)
+    x, residual, converged = fit(patterns, wanted)
+    assert converged and residual < 1e-6
     back = np.zeros(13)
     for place in range(3):
         np.add.at(back, patterns[:, place], x)
     assert np.abs(back[1:] - wanted[1:]).max() < 0.5 and (x >= 0).all()
 
 
+def test_patterns_beat_best_fit_where_it_can_be_beaten():
+    r = random.Random(1)
+    h = Counter()
+    for _ in range(40):  # containers that three lengths fill exactly, each many times
+        a = r.randint(20, 80)
+        b = r.randint(a, (256 - a) // 2 + 20)
+        for x in (a, b, 256 - a - b):
+            h[x] += 50
+    best = plan(h, 256)
+    used = sum(n for _, n in best.groups)
+    assert used < best.best_fit and used <= 1.01 * least_containers(h, 256)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_are_near_the_bound(seed):
+    r = random.Random(seed)
+    h = Counter(r.randint(1, 256) for _ in range(3000))
+    bound, used = least_containers(h, 256), sum(n for _, n in plan(h, 256).groups)
+    assert bound >= -(-sum(k * n for k, n in h.items()) // 256) and bound <= used <= 1.005 * bound
+
+
 def test_packing_documents(spark):
     r = random.Random(1)
     rows = [(i, " ".join(r.choice(["word", "tree", "a", "日本"]) for _ in range(r.choice([0, 1, 5, 30, 200]))), "s") for i in range(300)]
@@ -78,7 +100,9 @@ def test_packing_documents(spark):
         assert all(t == capacity for _, t in cut[:-1]) and [p for p, _ in cut] == list(range(len(cut)))
     summary = {x.spec_id: x for x in packing_summary(packed, specs).collect()}
     assert summary[1].containers >= summary[1].least_containers and 0 < summary[1].mean_fill <= 1
+    assert summary[1].converged and summary[1].containers <= summary[1].best_fit_containers
     assert container_fill(packed, specs).filter("fill > 1").count() == 0
+    assert {tuple(x) for x in packing_checks(packed, specs).collect()} == {(s, 303, 0, 0, 0) for s in (1, 2)}
 
 
 def test_packing_edges(spark):
@@ -124,6 +148,22 @@ def test_mixture_reaches_its_goals(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_the_draw_does_not_depend_on_the_layout(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, "word " * r.randint(1, 60), r.choice("ab")) for i in range(2000)], DOCS)
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.1, 2)], TARGETS)
+    one, many = (sorted(map(tuple, mix(df.repartition(n), targets)[0].collect())) for n in (1, 13))
+    assert one == many
+    assert {tuple(x) for x in mixture_checks(df, targets).collect()} == {("a", 0, 0, 0), ("b", 0, 0, 0)}
+
+
+def test_small_sources_come_close_to_their_goals(spark):
+    rows = [(i, "word " * n, "few") for i, n in enumerate([900, 800, 500, 300, 120, 90, 60, 30, 10])] + [(100 + i, "word " * 50, "many") for i in range(300)]
+    targets = spark.createDataFrame([("few", 0.05, 1), ("many", 0.5, 1)], TARGETS)
+    shares = {x.source: x for x in mix(spark.createDataFrame(rows, DOCS), targets)[1].collect()}
+    assert abs(shares["few"].drawn_tokens - shares["few"].goal_tokens) <= 60
+
+
 def test_mixture_with_a_wanted_total(spark):
     df = spark.createDataFrame([(i, "word " * 10, "a" if i < 50 else "b") for i in range(100)], DOCS)
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], TARGETS)
