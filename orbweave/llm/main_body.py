@@ -240,7 +240,7 @@ def _rest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def page_rests(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """What is left of each page outside recurring subtrees, and counts of its element places, written once."""
-    joined = by_site(pages, templates, "left")
+    joined = by_site(pages, templates, "left", entries="tpl")
     mine = F.coalesce(F.expr("array_intersect(array_union(items, trees), tpl)"), F.expr("cast(array() as array<bigint>)"))
     marked = joined.withColumn("mine", mine).select(
         "site", "doc", "items", "texts", "paths", "flags", "heads", "lines", "chars", "trees", "starts", "stops", "mine"
@@ -283,7 +283,7 @@ def leftovers(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """(site, doc, units, rest): the page's number of units, and those outside the site's template."""
     rests = page_rests(pages, templates)
     rules = durable(place_rules(rests), "place-rules")
-    joined = by_site(rests.select("site", "doc", "units", "lines", "texts", "chars", "flags", "paths", "loose"), rules, "left", key="doc")
+    joined = by_site(rests.select("site", "doc", "units", "lines", "texts", "chars", "flags", "paths", "loose"), rules, "left", key="doc", entries="mostly")
     here = {c: F.coalesce(F.expr(f"array_intersect({c}, paths)"), F.expr("cast(array() as array<bigint>)")) for c in ("mostly", "shaped", "headline")}
     rest = F.expr(
         "transform(filter(sequence(0, size(lines) - 1), i -> not array_contains(shaped, paths[i]) and not (loose[i] and array_contains(mostly, paths[i]))),"

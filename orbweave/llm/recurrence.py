@@ -14,13 +14,20 @@ from pyspark.sql import functions as F
 
 #: Copies of the short per-site lists; a hot site's pages are spread over them in the join.
 SALTS = 8
+#: Entries of all lists up to which the optimizer may copy them to every executor (8 bytes each, times SALTS); above, pages
+#: and lists meet by shuffle and sort whatever the size of the file.
+BROADCAST_ENTRIES = 500_000
 
 
-def by_site(pages: DataFrame, lists: DataFrame, how: str = "inner", site: str = "site", key: str = "page") -> DataFrame:
+def by_site(pages: DataFrame, lists: DataFrame, how: str = "inner", site: str = "site", key: str = "page", entries: str | None = None) -> DataFrame:
     """Join pages with one row per site, hot sites spread over salts.
 
+    `entries` names a list column of `lists`, a written table: its entries are counted and decide whether a broadcast is allowed.
+
     The salt also counts the input partition, so rows that are alike in everything do not meet in one task either.
     """
+    if entries and (lists.agg(F.sum(F.size(entries))).first()[0] or 0) > BROADCAST_ENTRIES:
+        lists = lists.hint("merge")
     salted = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(SALTS)) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
     return pages.withColumn("_salt", salt).join(salted, [site, "_salt"], how).drop("_salt")

@@ -108,7 +108,7 @@ def line_graph(lines: DataFrame, least: int = LEAST_PAGES, tenths: int = SHARE_T
     """
     kept = recurring_items(lines.filter("page is not null"), least, condition=10 * F.col("c") >= tenths * F.col("n"))
     kept = durable(kept.select("site", "items", "counts"), "kept-lines")
-    chosen = by_site(lines.filter("page is not null").select("site", "page", F.col("items").alias("seq")), kept.select("site", "items"))
+    chosen = by_site(lines.filter("page is not null").select("site", "page", F.col("items").alias("seq")), kept.select("site", "items"), entries="items")
     here = F.expr("array_intersect(seq, items)")
     marked = chosen.select("site", "seq", here.alias("here")).select(
         "site", F.expr("transform(seq, h -> if(array_contains(here, h), h, cast(null as bigint)))").alias("seq")
@@ -171,7 +171,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_occurrences(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(site, doc, block, lines): the runs of lines in which blocks, or parts of them, stand in the documents."""
     mine = F.expr("array_intersect(seq, items)")
-    found = by_site(lines.select("site", "doc", F.col("items").alias("seq"), "lines"), blocks, key="doc").withColumn("mine", mine)
+    found = by_site(lines.select("site", "doc", F.col("items").alias("seq"), "lines"), blocks, key="doc", entries="items").withColumn("mine", mine)
     own = F.expr("transform(mine, h -> blocks[cast(array_position(items, h) - 1 as int)])")
     return found.select("site", "doc", "lines", "seq", "mine", own.alias("blocks")).mapInArrow(
         _occurrences, "site bigint, doc bigint, block bigint, lines array<int>"
@@ -191,7 +191,7 @@ def repeated_lines(
     empty result. Texts are told apart by 64 hash bits within a site.
     """
     lines = site_lines(rows, site, doc, page, text)
-    found = block_occurrences(lines, boilerplate_blocks(lines, least, tenths))
+    found = block_occurrences(lines, durable(boilerplate_blocks(lines, least, tenths), "line-blocks"))
     return found.select(F.col("doc").alias(doc), F.explode("lines").alias("line_no"), "block")
 
 
