@@ -30,6 +30,25 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
 
 
+_HREF = r"""href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
+def _value(attribute: Column) -> Column:
+    """The value of `href=...` in any quoting, the ampersand's entity decoded."""
+    bare = F.regexp_replace(attribute, r"(?is)^.*?=\s*[\"']?|[\"']$", "")
+    return F.trim(F.regexp_replace(bare, "(?i)&amp;", "&"))
+
+
+def all_links(html: Column) -> Column:
+    """Targets of the anchors in order: quoted either way, or bare."""
+    return F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<a\s(?:[^>]*?\s)?({_HREF})"), F.lit(1)), _value)
+
+
+def base_href(html: Column) -> Column:
+    """What the page's first base element says links are relative to; empty if it has none."""
+    return _value(F.regexp_extract(html, rf"(?is)<base\s(?:[^>]*?\s)?({_HREF})", 1))
+
+
 def anchor_count(html: Column) -> Column:
     """Number of anchors, with or without a target."""
     return F.size(F.regexp_extract_all(html, F.lit(r"(?is)<a(?:\s[^>]*)?>"), F.lit(0)))

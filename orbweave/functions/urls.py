@@ -39,12 +39,15 @@ def without_closing_slash(path: Column, refer: Column) -> Column:
     return F.when(path == F.concat(refer, F.lit("/")), refer).otherwise(path)
 
 
-def without_dots(path: Column, steps: int = 8) -> Column:
-    """`.` and `..` segments resolved, up to `steps` levels."""
-    path = F.regexp_replace(path, r"/\.(?=/|$)", "")
-    for _ in range(steps):
-        path = F.regexp_replace(path, r"^(.*?)/(?!\.\.(?:/|$))[^/]+/\.\.(?=/|$)", "$1")
-    return F.regexp_replace(path, r"^(?:/\.\.)+(?=/|$)", "")
+def without_dots(path: Column) -> Column:
+    """`.` and `..` segments of a rooted path resolved, however many; a slash at the end stays, and stands for a last dot segment."""
+    folded = F.aggregate(
+        F.split(F.substr(path, F.lit(2)), "/", -1),
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part))),
+    )
+    end = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(folded, "/"), end), r"^//$", "/")
 
 
 def resolved(href: Column, base: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.schemas import COUNTERS
+from orbweave.session import durable
 
 #: Latency samples kept per counter.
 SAMPLES = 256
@@ -51,3 +52,21 @@ def first_over_budget(events: DataFrame, order: list[str], most: int, where: Col
     """
     chosen = events if where is None else events.filter(where)
     return chosen.orderBy(*order).offset(most).limit(1)
+
+
+def running_total(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], value: str, name: str = "total") -> DataFrame:
+    """`rows` with the sum of `value` up to and including each row in its group's order.
+
+    Rows are cut into ranges of (by, order) and written, ranges are summed, and only inside a range rows are counted one by one; so
+    one large group is many tasks.
+    """
+    ranged = durable(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.lit(True)
+    for c in (*by, "_range"):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
+    joined = ranged.withColumn("_inside", F.sum(value).over(inside)).alias("r").join(offsets.alias("o"), same)
+    return joined.select("r.*", (F.col("_inside") + F.col("_before")).alias(name)).drop("_range", "_inside")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,25 +32,59 @@ def build_session(master: str | None = None, app: str = "orbweave", **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as `spark.checkpoint.dir` names it.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is made and set.
+    Only where that setting is absent and all runs on one machine (tests, a laptop) a temporary folder of it is made and
+    set; on a cluster without the setting this fails, as each machine would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Records and bytes of a batch that goes to Python, where pages of html are read.
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that large pages do not fill a task's memory. A smaller setting of the session stays."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"-?\d+", spark.conf.get(name, "0") or "0")
+        if now is None or not 0 < int(now.group()) < most or not spark.conf.get(name).lstrip("-").isdigit():
+            spark.conf.set(name, str(most))
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def written_tables(spark: SparkSession):
+    """Tables that `durable` writes inside this block go at its end, once their result is stored; a long-running driver keeps no leftovers."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` once into the shared folder and read it back: lineage ends, a lost executor costs nothing.
 
-    Parquet keeps the later column pruning; zstd keeps the disk small. The files go when the driver ends.
+    Parquet keeps the later column pruning; zstd keeps the disk small. The files go when the driver ends, or the block of
+    `written_tables` around it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
