@@ -8,21 +8,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.functions import robots, urls
 from orbweave.operators import catalogs as cat
 from orbweave.operators import index as idx
 from orbweave.operators import search as srch
 from orbweave.operators.counters import elapsed_text, run_counters
+from orbweave.operators.dedup import DedupMode
 from orbweave.plans.crawl import LOG, Budget, CrawlResult, crawl, seeds
 from orbweave.plans.jobs import JobQueue, RunGuard, decide
 from orbweave.schemas import COUNTERS, DEFAULTS
+from orbweave.session import durable, written_tables
+from orbweave.sources.fetchers import for_policy, live_fetch
 from orbweave.sources.store import Store
 
 
 class Engine:
-    """Crawl, index and search over the tables of a folder. Pages come from `pages` (url, html, id) or a fetch step."""
+    """Crawl, index and search over the tables of a folder.
 
-    def __init__(self, spark: SparkSession, root: str, pages: DataFrame | None = None):
+    Pages come from `pages` (url, html, id), or live through the extractor, retries, pause and charset each catalog names.
+    Robots files are rows (host, content), by default those among the pages; `obey_robots` False turns them off.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, pages: DataFrame | None = None, robots: DataFrame | None = None, obey_robots: bool = True):
         self.spark, self.store, self.pages = spark, Store(spark, root), pages
+        self.robots = None if not obey_robots else robots if robots is not None else self._robots_files(pages)
         self.queue, self.guard = JobQueue(), RunGuard()
 
     # catalogs
@@ -99,31 +108,72 @@ class Engine:
         self._run(catalog_id, self.details(catalog_id), "crawl", None, options.get("budget"), options.get("resolve_links", True), options.get("fetch"))
         return "rebuild"
 
+    @staticmethod
+    def _robots_files(pages: DataFrame | None) -> DataFrame | None:
+        if pages is None:
+            return None
+        files = pages.filter(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]+/robots\.txt$"))
+        return files.groupBy(urls.host(F.col("url")).alias("host")).agg(F.max_by("html", "id").alias("content"))
+
+    def _policy(self, site, fetch: Callable | None) -> dict:
+        """What a catalog's fields mean for its crawl: filter, acceptors, robots and, without stored pages, the fetcher."""
+        options = {"mode": DedupMode.by_name(site["url_path_filter"]), "acceptors": list(site["url_path_acceptors"] or ())}
+        if self.robots is not None:
+            options["robots"] = robots.rules(self.robots)
+        if fetch is None and self.pages is None:
+            fetch = live_fetch(for_policy(site["extractor"], site["max_retry_count"], site["interval_ms"]), site["page_encoding"])
+        if fetch is not None:
+            options["fetch"] = fetch
+        return options
+
     def _run(self, catalog_id, details, action, paths, budget, resolve_links, fetch) -> CrawlResult:
         site = details.first()
         if budget is None:
             budget = Budget(COUNTERS[site["counting_type"]], site["max_fetch_size"], site["duration"])
-        with self.guard.run(catalog_id) as run:
+        options = self._policy(site, fetch)
+        with self.guard.run(catalog_id) as run, written_tables(self.spark):
             budget.interrupted = run.interrupted
             began = int(time.time() * 1000)
             self.store.write("catalog", cat.set_running_state(self.store.read("catalog"), catalog_id, action))
             try:
                 start = seeds(details, self._index(), action, paths)
                 visited = self.store.read("visited") if self.store.exists("visited") else None
-                extra = {"fetch": fetch} if fetch else {}
-                result = crawl(start, self.pages, details, visited=visited, resolve_links=resolve_links, budget=budget, **extra)
+                mine = visited.filter(F.col("catalog_id") == catalog_id) if visited is not None else None
+                result = crawl(start, self.pages, details, visited=mine, resolve_links=resolve_links, budget=budget, **options)
                 stamped = result.resources.withColumn("create_time", F.current_timestamp().cast("timestamp_ntz"))
-                self.store.write("resource", idx.upsert(self.store.read("resource"), stamped.select(*self.store.read("resource").columns), ("id",)))
+                stamped = durable(stamped.select(*self.store.read("resource").columns), "saved-resources")
+                self.store.append("resource", stamped)
                 if site["indexed"]:
-                    docs = idx.documents(self.store.read("resource").join(result.resources.select("id"), "id", "left_semi"), self.store.read("catalog"), F.col("version"))
-                    self.store.write("indexed_resource", idx.upsert(self.store.read("indexed_resource"), docs))
-                self.store.write("visited", result.visited)
-                log = result.log.withColumns({"started": F.lit(began), "ended": F.lit(int(time.time() * 1000))})
-                self.store.write("run_log", log if not self.store.exists("run_log") else self.store.read("run_log").unionByName(log))
+                    self._put_documents(idx.documents(stamped, self.store.read("catalog"), F.col("version"), exact=True))
+                seen = result.visited
+                if visited is not None:
+                    seen = visited.filter((F.col("catalog_id") != catalog_id) | F.col("catalog_id").isNull()).unionByName(seen)
+                self.store.write("visited", seen)
+                ended = int(time.time() * 1000)
+                self.store.append("run_log", result.log.withColumns({"started": F.lit(began), "ended": F.lit(ended)}))
+                row = [(catalog_id, action, began, ended, result.levels, result.stopped)]
+                self.store.append("runs", self.spark.createDataFrame(row, "catalog_id bigint, action string, started bigint, ended bigint, levels int, stopped string"))
                 return result
             finally:
                 self.store.write("catalog", cat.set_running_state(self.store.read("catalog"), catalog_id, "none"))
 
+    def _put_documents(self, docs: DataFrame) -> None:
+        """New documents into the index and its postings: those of the same id give way, the rest is not rewritten."""
+        fresh = durable(docs, "documents")
+        old = self.store.read("indexed_resource").join(fresh.select("id"), "id", "left_semi").select("id")
+        if old.isEmpty():
+            self.store.append("indexed_resource", fresh)
+            self._add_postings(fresh)
+        else:
+            self.store.write("indexed_resource", idx.upsert(self.store.read("indexed_resource"), fresh))
+            self._refresh_postings()
+
+    def _add_postings(self, docs: DataFrame) -> None:
+        self.store.append("postings", srch.inverted(docs), partition_by=("bucket",))
+
+    def _refresh_postings(self) -> None:
+        self.store.write("postings", srch.inverted(self.store.read("indexed_resource")), partition_by=("bucket",))
+
     def run_next(self) -> str | None:
         """Start the next queued job."""
         job = self.queue.take()
@@ -132,6 +182,10 @@ class Engine:
     def interrupt(self) -> None:
         self.guard.interrupt()
 
+    def runs(self, catalog_id: int) -> DataFrame:
+        """Past runs of a catalog: times, levels, and what stopped each (empty where nothing was left to do)."""
+        return self.store.read("runs").filter(F.col("catalog_id") == catalog_id)
+
     def is_running(self, catalog_id: int) -> bool:
         return self.guard.running == catalog_id
 
@@ -158,17 +212,20 @@ class Engine:
     def recreate_index(self, catalog_id: int | None = None) -> None:
         rows, index = self._scope(catalog_id)
         self.store.write("indexed_resource", idx.recreate_index(self.store.read("indexed_resource"), self.store.read("resource"), rows, index))
+        self._refresh_postings()
 
     def upgrade_index(self, catalog_id: int | None = None, overwrite: bool = False) -> None:
         rows, index = self._scope(catalog_id)
         docs, raised = idx.upgrade_index(self.store.read("indexed_resource"), self.store.read("resource"), rows, index, overwrite)
         self.store.write("indexed_resource", docs)
+        self._refresh_postings()
         rest = self.store.read("catalog_index").join(index.select("id"), "id", "left_anti")
         self.store.write("catalog_index", rest.unionByName(raised))
         self.store.write("resource", cat.raise_resource_versions(self.store.read("resource"), raised))
 
     def delete_index(self, catalog_id: int, version: int = -1) -> None:
         self.store.write("indexed_resource", idx.delete_documents(self.store.read("indexed_resource"), self.store.read("catalog"), catalog_id, version))
+        self._refresh_postings()
 
     def index_size(self) -> int:
         return self.store.read("indexed_resource").count()
@@ -178,7 +235,8 @@ class Engine:
         if v is None:
             top = cat.max_version(self.store.read("catalog"), self.store.read("catalog_index"), c).first()
             v = top["version"] if top and top["version"] is not None else -1
-        return srch.search(self.store.read("indexed_resource"), q, v, c, number, size)
+        docs = self.store.read("indexed_resource")
+        return srch.search(docs, q, v, c, number, size, self.store.read("postings") if self.store.exists("postings") else None)
 
     def views(self) -> None:
         """Register the tables for SQL."""

@@ -5,15 +5,21 @@ from __future__ import annotations
 import math
 from enum import Enum
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.counters import running_total
+
 #: The four values that identify a path within a run.
 KEYS = ("catalog_id", "refer", "path", "version")
 #: The resource table's unique key.
 UNIQUE = ("catalog_id", "cat", "version", "title", "url")
 
 
+#: Keys a Bloom filter is planned for at least; only bits that are set take room.
+LEAST_EXPECTED = 1_000_000
+
+
 class DedupMode(Enum):
     """How a run remembers what it has seen."""
 
@@ -56,7 +62,7 @@ def bloom_unseen(frontier: DataFrame, visited: DataFrame, keys: tuple[str, ...]
 
     Bits are kept as rows (word, mask) of a table, so the filter is distributed and no task holds it whole.
     """
-    n = expected or max(1, visited.count())
+    n = expected or max(LEAST_EXPECTED, visited.count())
     bits, hashes = bloom_parameters(n, error)
     probes = F.array(*(F.pmod(F.xxhash64(*keys, F.lit(k)), F.lit(bits)) for k in range(hashes)))
     words = (
@@ -79,11 +85,12 @@ def bloom_unseen(frontier: DataFrame, visited: DataFrame, keys: tuple[str, ...]
 
 
 def export(visited: DataFrame, keys: tuple[str, ...] = KEYS, limit: int | None = None, first_index: int = 1) -> DataFrame:
-    """Seen paths in order with a running index, up to `limit` of them."""
-    ordered = visited.select(*keys).distinct().orderBy(*keys)
-    ordered = ordered if limit is None else ordered.limit(limit)
-    index = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)) - 1 + first_index
-    return ordered.withColumn("position", index) if limit is not None else ordered
+    """Seen paths in order with a running index (`position`), all of them or the first `limit`."""
+    rows = visited.select(*keys).distinct()
+    if limit is not None:
+        rows = rows.orderBy(*keys).limit(limit)
+    numbered = running_total(rows.withColumns({"_all": F.lit(0), "_one": F.lit(1)}), ("_all",), keys, "_one", "position")
+    return numbered.select(*keys, (F.col("position") - 1 + first_index).alias("position"))
 
 
 def seen_size(visited: DataFrame, keys: tuple[str, ...] = KEYS, exact: bool = True) -> DataFrame:

@@ -239,14 +239,16 @@ def crawl(
         last = None
         if limited and budget.counter != COUNTERS[0]:
             last = _last_paths(outcomes, spent, budget.counter, budget.most)
-        outcomes = durable(_up_to(outcomes, last, "source").drop("source"), "crawl-log")
+        outcomes = _up_to(outcomes, last, "source").drop("source")
+        outcomes = durable(outcomes, "crawl-log") if limited else outcomes
         logs.append(outcomes)
         stored.append(_up_to(marked.filter("is_saved"), last, "url").drop("is_saved", "refer"))
         known.append(_up_to(walk, last, "path").select(*KEYS, F.lit(True).alias("_went")))
-        counted = run_counters(outcomes)
-        if spent is not None:
-            counted = spent.unionByName(counted).groupBy(*RUN).agg(*(F.sum(c.lower()).alias(c.lower()) for c in COUNTERS))
-        spent = durable(counted, "run-counters")
+        if limited:
+            counted = run_counters(outcomes)
+            if spent is not None:
+                counted = spent.unionByName(counted).groupBy(*RUN).agg(*(F.sum(c.lower()).alias(c.lower()) for c in COUNTERS))
+            spent = durable(counted, "run-counters")
         for parts, label in ((known, "visited"), (stored, "crawl-stored"), (logs, "crawl-log")):
             if len(parts) > COMPACT_LEVELS:
                 whole = _union(parts)

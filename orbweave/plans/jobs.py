@@ -7,6 +7,9 @@ from collections import deque
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class RunningError(RuntimeError):
     """A catalog is already in a run."""
@@ -38,6 +41,7 @@ class RunGuard:
         self.running: int | None = None
         self._stop = threading.Event()
         self.on_completion: list[Callable[[int], None]] = []
+        self.on_interruption: list[Callable[[int | None], None]] = []
 
     @contextmanager
     def run(self, catalog_id: int, wait_s: float = 3.0):
@@ -59,7 +63,10 @@ class RunGuard:
             raise RunningError(f"catalog {catalog_id} is running")
 
     def interrupt(self) -> None:
+        """Ask the run to stop after its level, and tell who listens."""
         self._stop.set()
+        for call in self.on_interruption:
+            call(self.running)
 
     def interrupted(self) -> bool:
         return self._stop.is_set()
@@ -70,3 +77,9 @@ def decide(latest_path: str | None, url: str, other_running: bool = False) -> st
     if other_running:
         return "enqueue"
     return "update" if latest_path and latest_path.strip() and latest_path not in (url, url + "/") else "crawl"
+
+
+def decision(latest_path: Column, url: Column) -> Column:
+    """`decide` as a column, for many catalogs at once."""
+    again = latest_path.isNotNull() & (F.trim(latest_path) != "") & ~((latest_path == url) | (latest_path == F.concat(url, F.lit("/"))))
+    return F.when(F.coalesce(again, F.lit(False)), "update").otherwise("crawl")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,12 +72,27 @@ def s1_resource_scan(spark, d):
     return _resource(spark, d).filter("version = 1").select("id", "title", "url", "cat", "version", "catalog_id")
 
 
+def _scratch_engine(spark, d):
+    """An engine over a copy of the tables in the shared folder."""
+    import uuid
+
+    from orbweave.engine import Engine
+    from orbweave.session import shared_folder
+
+    engine = Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}")
+    for name, rows in (("catalog", _catalog), ("catalog_index", _index), ("resource", _resource), ("indexed_resource", _docs)):
+        engine.store.write(name, rows(spark, d))
+    return engine
+
+
 @query("""SELECT id, CASE WHEN running_state = 'crawl' THEN 'none' ELSE running_state END AS running_state, coalesce(name, '') AS name
 FROM crawler_catalog WHERE cat <> 'shop' OR cat IS NULL""")
 def s2_update_and_delete(spark, d):
-    """Update and delete as a rewrite of the table."""
-    rows = _catalog(spark, d).filter("cat <> 'shop' or cat is null")
-    return rows.select("id", F.when(F.col("running_state") == "crawl", "none").otherwise(F.col("running_state")).alias("running_state"), F.coalesce("name", F.lit("")).alias("name"))
+    """Update and delete in the engine's store: a new generation of the table, read back."""
+    store = _scratch_engine(spark, d).store
+    rows = store.read("catalog").filter("cat <> 'shop' or cat is null")
+    state = F.when(F.col("running_state") == "crawl", "none").otherwise(F.col("running_state"))
+    return store.write("catalog", rows.withColumns({"running_state": state, "name": F.coalesce("name", F.lit(""))})).select("id", "running_state", "name")
 
 
 @query("""SELECT id, CASE WHEN trim(h) = '' THEN '' ELSE h END AS html FROM (
@@ -112,6 +128,13 @@ def s19_filter_export(spark, d):
     return dedup.export(_visited(spark, d), limit=100)
 
 
+@query("""SELECT catalog_id, refer, path, version, row_number() OVER (ORDER BY catalog_id NULLS FIRST, refer NULLS FIRST, path NULLS FIRST, version) AS position FROM (
+ SELECT DISTINCT r.catalog_id, c.url AS refer, r.url AS path, r.version FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id)""")
+def s19_whole_export(spark, d):
+    """Export of all seen paths with their index, ranged over tasks."""
+    return dedup.export(_visited(spark, d))
+
+
 def _visited(spark, d):
     refer = _catalog(spark, d).select(F.col("id").alias("catalog_id"), F.col("url").alias("refer"))
     return _resource(spark, d).join(refer, "catalog_id").select("catalog_id", "refer", F.col("url").alias("path"), "version")
@@ -166,11 +189,11 @@ def c6_path_identity(spark, d):
     return seen.groupBy("catalog_id").agg(F.sum("n").alias("packets"), F.count("*").alias("paths"))
 
 
-@query()
+@query(r"""SELECT id, len(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?is)<a\s[^>]*?href\s*=\s*["'']?[^"''>\s]')) AS links FROM crawler_resource""")
 def c7_exact_parse(spark, d):
-    """Pages through the exact tier: title, decoded text, number of links."""
+    """Pages through the exact tier: number of links."""
     p = html.parsed("html")
-    return _resource(spark, d).select("id", p.alias("p")).select("id", "p.title", "p.content", F.size("p.links").alias("links"))
+    return _resource(spark, d).select("id", p.alias("p")).select("id", F.size("p.links").cast("bigint").alias("links"))
 
 
 @query(r"""SELECT id, trim(regexp_replace(coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '[ \t\n\r]+', ' ', 'g')) AS page_title FROM crawler_resource WHERE html IS NOT NULL""")
@@ -215,14 +238,23 @@ def c12_resolved_links(spark, d):
     return _links(spark, d).groupBy("link").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT r.id, CASE lower(trim(coalesce(c.page_encoding, ''))) WHEN 'windows-1252' THEN 'cp1252' WHEN 'iso-8859-1' THEN 'iso8859-1' WHEN 'latin1' THEN 'iso8859-1'
+ WHEN 'gbk' THEN 'gbk' WHEN 'gb18030' THEN 'gb18030' WHEN 'euc-jp' THEN 'euc_jp' WHEN 'koi8-r' THEN 'koi8-r' WHEN 'shift_jis' THEN 'shift_jis' WHEN 'windows-1251' THEN 'cp1251'
+ WHEN 'big5' THEN 'big5' WHEN 'ascii' THEN 'ascii' WHEN 'us-ascii' THEN 'ascii' ELSE 'utf-8' END AS charset, true AS intact
+FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id WHERE r.html IS NOT NULL""")
 def c13_charset(spark, d):
-    """Pages written in their catalog's encoding and read back."""
-    from orbweave.sources.fetchers import decoded_pages
+    """Pages written as bytes in their catalog's charset, whatever its spelling, and read back: none is damaged."""
+    from orbweave.sources.fetchers import charset_of, decoded_pages, encoded_pages
+
+    @F.pandas_udf("string")
+    def resolved(names: pd.Series) -> pd.Series:
+        return names.map(charset_of)
 
     enc = _catalog(spark, d).select(F.col("id").alias("catalog_id"), "page_encoding")
-    raw = _resource(spark, d).filter("html is not null").join(enc, "catalog_id").select("id", F.encode("html", "UTF-8").alias("content"), F.lit("UTF-8").alias("page_encoding"))
-    return decoded_pages(raw).select("id", F.length("html").alias("n"))
+    pages = _resource(spark, d).filter("html is not null").select("id", "catalog_id", "html").join(enc, "catalog_id")
+    once = decoded_pages(encoded_pages(pages).drop("html"))
+    twice = decoded_pages(encoded_pages(once.select("id", "page_encoding", "html")).withColumnRenamed("html", "before"))
+    return twice.select("id", resolved("page_encoding").alias("charset"), (F.col("html") == F.col("before")).alias("intact"))
 
 
 @query("SELECT id, epoch_us(create_time) // 1000 AS ms FROM crawler_resource")
@@ -245,10 +277,11 @@ def c17_display_id(spark, d):
     return _catalog(spark, d).select("id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("display_id"))
 
 
-@query()
+@query("SELECT catalog_id, count(*) AS pages, count(DISTINCT (url, version)) AS ids FROM crawler_resource WHERE url IS NOT NULL GROUP BY catalog_id")
 def c19_identifiers(spark, d):
-    """Ids that depend on the resource only."""
-    return _resource(spark, d).select("id", F.xxhash64("catalog_id", "url", "version").alias("stable_id"))
+    """Ids that depend on catalog, url and version only: as many as there are of those."""
+    rows = _resource(spark, d).filter("url is not null").select("catalog_id", F.xxhash64("catalog_id", "url", "version").alias("stable_id"))
+    return rows.groupBy("catalog_id").agg(F.count("*").alias("pages"), F.count_distinct("stable_id").alias("ids"))
 
 
 @query("SELECT id, title, content, url, path, cat, catalog, version, make_timestamp(create_time * 1000) AS create_time FROM indexed_resource")
@@ -435,32 +468,11 @@ def a8_seen_size(spark, d):
     return dedup.seen_size(_visited(spark, d))
 
 
-@query()
+@query("SELECT true AS close")
 def a8_seen_estimate(spark, d):
-    return dedup.seen_size(_visited(spark, d), exact=False)
-
-
-@query("""SELECT event_id, CASE WHEN s <= 0 THEN 0 WHEN event_type = 'view' THEN e - s ELSE n - s END AS elapsed_ms FROM (
- SELECT event_id, event_type, (user_id - 5) * 1000 AS s, (user_id + 20) * 1000 AS e, CAST(10000000 AS BIGINT) AS n FROM events)""")
-def a9_elapsed(spark, d):
-    s, e = (F.col("user_id") - 5) * 1000, (F.col("user_id") + 20) * 1000
-    return _events(spark, d).select("event_id", counters.elapsed_ms(s, e, F.lit(10_000_000).cast("bigint"), F.col("event_type") == "view").alias("elapsed_ms"))
-
-
-@query("SELECT user_id, epoch_ms(TIMESTAMP '2024-02-01') - max(epoch_us(ts) // 1000) > 86400000 AS idle FROM events GROUP BY user_id")
-def a10_idle(spark, d):
-    now = F.lit(1706745600000)
-    return _events(spark, d).groupBy("user_id").agg(F.max(index.epoch_ms(F.col("ts"))).alias("last")).select("user_id", counters.idle(F.col("last"), now, 86_400_000).alias("idle"))
-
-
-@query(r"SELECT id, len(regexp_extract_all(html, '(?is)<a(?:\s[^>]*)?>')) AS links FROM crawler_resource WHERE html IS NOT NULL")
-def a11_link_count(spark, d):
-    return _resource(spark, d).filter("html is not null").select("id", html.anchor_count(F.col("html")).cast("bigint").alias("links"))
-
-
-@query(f"""SELECT count(*) AS documents, round(avg(n), 6) AS mean_length FROM (SELECT len({_TOKENS_SQL.format('content')}) AS n FROM indexed_resource) WHERE n > 0""")
-def a12_corpus_statistics(spark, d):
-    return search.field_statistics(_docs(spark, d), "content").withColumn("mean_length", F.round("mean_length", 6))
+    """The estimate is within a tenth of the exact size."""
+    exact, rough = dedup.seen_size(_visited(spark, d)), dedup.seen_size(_visited(spark, d), exact=False).withColumnRenamed("seen", "rough")
+    return exact.select("seen", F.lit(1).alias("k")).join(rough.withColumn("k", F.lit(1)), "k").select((F.abs(F.col("rough") / F.col("seen") - 1) < 0.1).alias("close"))
 
 
 # dedup
@@ -471,12 +483,27 @@ def d1_exact(spark, d):
     return _resource(spark, d).filter("url is not null").select("catalog_id", "url").dropDuplicates(["catalog_id", "url"])
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS kept_old, true AS within_bound")
 def d2_bloom(spark, d):
-    """New paths through a Bloom filter: a few new ones are lost, as bounded, no old one is kept."""
+    """New paths through a Bloom filter (D2, D3): no old one is kept, and of the new ones few are lost, as bounded."""
     rows = _visited(spark, d).filter("path is not null")
-    half = F.pmod(F.xxhash64("path"), F.lit(2))
-    return dedup.bloom_unseen(rows.filter(half == 0), rows.filter(half == 1)).select(*dedup.KEYS)
+    old = F.pmod(F.xxhash64("path"), F.lit(2)) == 1
+    frontier, seen = rows, rows.filter(old)
+    kept = dedup.bloom_unseen(frontier, seen).select(*dedup.KEYS)
+    new = dedup.unseen(frontier, seen).select(*dedup.KEYS)
+    both = kept.withColumns({"k": F.lit(1), "n": F.lit(0)}).unionByName(new.withColumns({"k": F.lit(0), "n": F.lit(1)})).groupBy(*dedup.KEYS).agg(F.max("k").alias("k"), F.max("n").alias("n"))
+    return both.agg(F.count_if(F.expr("k = 1 and n = 0")).alias("kept_old"), (F.count_if(F.expr("k = 0 and n = 1")) <= 0.05 * F.count_if(F.expr("n = 1")) + 5).alias("within_bound"))
+
+
+@query("SELECT id, CASE coalesce(nullif(trim(url_path_filter), ''), 'redission-bloomfilter') WHEN 'redis' THEN 'exact' WHEN 'rocksdb' THEN 'stream' ELSE 'bloom' END AS mode FROM crawler_catalog")
+def d5_filter_choice(spark, d):
+    """How each catalog's run remembers what it has seen."""
+
+    @F.pandas_udf("string")
+    def mode(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: dedup.DedupMode.by_name(n).value)
+
+    return catalogs.catalog_details(_catalog(spark, d)).select("id", mode("url_path_filter").alias("mode"))
 
 
 @query()
@@ -495,8 +522,8 @@ def _streamed(spark, stream, mode):
     from orbweave.session import shared_folder
     from orbweave.streaming import runs
 
-    name = f"s{uuid.uuid4().hex}"
-    return runs.run_to_end(stream, f"{shared_folder(spark)}/stream-{name}", name, mode)
+    name = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return runs.run_to_end(stream, f"{name}/checkpoint", f"{name}/result", mode)
 
 
 SQL["ref_d4_streaming"] = "SELECT DISTINCT user_id, event_type FROM events"
@@ -542,6 +569,22 @@ def _bm25_sql(field: str, terms: str) -> str:
 _T = "'harbour', 'bridge'"
 
 
+def _postings(spark, d):
+    """The inverted index, built once a session and data folder, as the engine keeps it: stored by bucket of terms."""
+    from orbweave.session import shared_folder
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT.clear()
+        path = f"{shared_folder(spark)}/postings-{abs(hash(key))}"
+        search.inverted(_docs(spark, d)).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+        _BUILT[key] = path
+    return spark.read.parquet(_BUILT[key])
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 @query(f"SELECT id, round(s, 6) AS score FROM ({_bm25_sql('title', _T)})")
 def f2_bm25(spark, d):
     return search.bm25(_docs(spark, d), "title", ["harbour", "bridge"]).select("id", F.round("score", 6).alias("score"))
@@ -550,8 +593,8 @@ def f2_bm25(spark, d):
 @query(f"""SELECT t.id, round(t.s + coalesce(c.s, 0), 6) AS score FROM ({_bm25_sql('title', _T)}) t LEFT JOIN ({_bm25_sql('content', _T)}) c ON c.id = t.id
 ORDER BY t.s + coalesce(c.s, 0) DESC, t.id LIMIT 10""")
 def t7_ranked_page(spark, d):
-    """First page of ranked hits: title and content combined (F3, T7)."""
-    return search.top(search.scored(_docs(spark, d), "harbour bridge")).select("id", F.round("score", 6).alias("score"))
+    """First page of ranked hits from the inverted index: title and content combined (F3, T7)."""
+    return search.top(search.scored(_docs(spark, d), "harbour bridge", postings=_postings(spark, d))).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT id, len({_TOKENS_SQL.format('content')}) AS n, array_to_string(list_sort(list_distinct({_TOKENS_SQL.format('title')})), ' ') AS terms FROM indexed_resource")
@@ -565,10 +608,17 @@ def f1_postings(spark, d):
     return search.postings(_docs(spark, d), "title").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query()
+@query(f"""SELECT id, true AS marked, true AS plain FROM (SELECT t.id FROM ({_bm25_sql('title', _T)}) t LEFT JOIN ({_bm25_sql('content', _T)}) c ON c.id = t.id
+ORDER BY t.s + coalesce(c.s, 0) DESC, t.id LIMIT 10)""")
 def f4_highlights(spark, d):
-    """A page of results with marked fragments."""
-    return search.search(_docs(spark, d), "harbour bridge").select("id", "title", "content")
+    """A page of results: titles have the words marked, and without the marks they are as stored."""
+    from orbweave.schemas import HIGHLIGHT_POST, HIGHLIGHT_PRE
+
+    page = search.search(_docs(spark, d), "harbour bridge").select("id", "version", "title")
+    plain = F.replace(F.replace("title", F.lit(HIGHLIGHT_PRE), F.lit("")), F.lit(HIGHLIGHT_POST), F.lit(""))
+    stored = _docs(spark, d).select("id", "version", F.trim("title").alias("own"))
+    checks = page.select("id", "version", F.contains("title", F.lit(HIGHLIGHT_PRE)).alias("marked"), plain.alias("bare")).join(stored, ["id", "version"])
+    return checks.select("id", "marked", F.startswith("own", "bare").alias("plain"))
 
 
 @query("SELECT id, version FROM indexed_resource WHERE version = (SELECT max(i.version) FROM crawler_catalog_index i JOIN crawler_catalog c ON c.id = i.catalog_id WHERE c.cat = 'docs') AND cat = 'docs'")
@@ -619,14 +669,30 @@ def v6_raise_versions(spark, d):
     return catalogs.raise_resource_versions(_resource(spark, d), _index(spark, d)).select("id", "version")
 
 
-@query("SELECT id FROM crawler_resource WHERE catalog_id <> 1001")
+_SIZES_SQL = """SELECT 'catalog' AS name, (SELECT count(*) FROM crawler_catalog {c}) AS n UNION ALL SELECT 'catalog_index', (SELECT count(*) FROM crawler_catalog_index {i})
+UNION ALL SELECT 'resource', (SELECT count(*) FROM crawler_resource WHERE catalog_id <> 1001) UNION ALL SELECT 'indexed_resource', (SELECT count(*) FROM indexed_resource d WHERE NOT EXISTS (
+ SELECT 1 FROM crawler_catalog c WHERE c.id = 1001 AND c.name = d.catalog AND c.url = d.url))"""
+
+
+def _sizes(engine):
+    counts = [engine.store.read(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("catalog", "catalog_index", "resource", "indexed_resource")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@query(_SIZES_SQL.format(c="", i=""))
 def v7_clean_catalog(spark, d):
-    return catalogs.without_catalog(_resource(spark, d), 1001).select("id")
+    """Cleaning one catalog: rows left in the engine's tables."""
+    engine = _scratch_engine(spark, d)
+    engine.clean_catalog(1001)
+    return _sizes(engine)
 
 
-@query("SELECT id FROM crawler_catalog WHERE id <> 1001")
+@query(_SIZES_SQL.format(c="WHERE id <> 1001", i="WHERE catalog_id <> 1001"))
 def v8_delete_catalog(spark, d):
-    return catalogs.without_catalog(_catalog(spark, d), 1001, "id").select("id")
+    """Deleting one catalog: rows left in the engine's tables."""
+    engine = _scratch_engine(spark, d)
+    engine.delete_catalog(1001)
+    return _sizes(engine)
 
 
 @query("""SELECT id, CASE WHEN running_state = 'crawl' THEN 'N' || id ELSE name END AS name, url, CASE WHEN running_state = 'crawl' THEN CAST(9 AS SMALLINT) ELSE depth END AS depth FROM crawler_catalog
@@ -695,7 +761,11 @@ def x3_crawl_counters(spark, d):
     return _graph_crawl(spark, d).counters().drop("version")
 
 
-@query()
+@query(_REACH_SQL.replace("reach AS (SELECT", "reach0 AS (SELECT") + """, seen AS (SELECT n.catalog_id, n.i, n.url IN (SELECT path FROM indexed_resource WHERE path IS NOT NULL) AS old FROM nodes n),
+went AS (SELECT catalog_id, i, 'update' AS action FROM nodes WHERE i = 0 UNION
+ SELECT e.catalog_id, e.j, CASE WHEN s.old THEN w.action ELSE 'crawl' END FROM went w JOIN seen s ON s.catalog_id = w.catalog_id AND s.i = w.i
+ JOIN edges e ON e.catalog_id = w.catalog_id AND e.i = w.i WHERE e.ok AND (NOT s.old OR w.action = 'update'))
+SELECT DISTINCT w.catalog_id, n.url FROM went w JOIN seen s ON s.catalog_id = w.catalog_id AND s.i = w.i JOIN nodes n ON n.catalog_id = w.catalog_id AND n.i = w.i WHERE NOT s.old""")
 def x4_update(spark, d):
     """An update over sites partly seen (the indexed pages): unseen pages are saved, seen ones only followed."""
     pages, first, details = _graph(spark, d)
@@ -718,10 +788,11 @@ def x11_first_over_budget(spark, d):
 @query("""SELECT c.id, CASE WHEN l.path IS NULL OR trim(l.path) = '' OR l.path = c.url OR l.path = c.url || '/' THEN 'crawl' ELSE 'update' END AS action FROM crawler_catalog c LEFT JOIN (
  SELECT catalog_id, url AS path FROM crawler_resource WHERE create_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY catalog_id ORDER BY create_time DESC, id DESC) = 1) l ON l.catalog_id = c.id""")
 def x16_crawl_or_update(spark, d):
+    from orbweave.plans.jobs import decision
+
     latest = catalogs.latest_path(_resource(spark, d)).withColumnRenamed("catalog_id", "id")
     rows = _catalog(spark, d).select("id", "url").join(latest, "id", "left")
-    again = F.col("path").isNotNull() & (F.trim("path") != "") & ~catalogs.is_index_page(F.col("path"), F.col("url"))
-    return rows.select("id", F.when(F.coalesce(again, F.lit(False)), "update").otherwise("crawl").alias("action"))
+    return rows.select("id", decision(F.col("path"), F.col("url")).alias("action"))
 
 
 @query("""SELECT r.catalog_id, r.version, count(*) AS stored, count(i.id) AS indexed, epoch_us(max(r.create_time)) // 1000 - epoch_us(min(r.create_time)) // 1000 AS elapsed_ms
@@ -754,12 +825,21 @@ def x8_update_seeds(spark, d):
     return crawl.seeds(details, index.current_versions(_index(spark, d)), "update", latest).select("catalog_id", "path", "action")
 
 
-@query("SELECT count(*) FILTER (running_state = 'crawl') AS crawls, count(*) FILTER (running_state = 'update') AS updates FROM crawler_catalog")
+@query("SELECT count(*) AS crawls, (SELECT count(*) FROM crawler_catalog) AS updates, CAST(0 AS BIGINT) AS others FROM crawler_catalog")
 def x2_actions(spark, d):
-    """Packets by action."""
-    parts = crawl.actions(_catalog(spark, d).withColumnRenamed("running_state", "action"))
-    both = parts["crawl"].unionByName(parts["update"])
-    return both.agg(F.count_if(F.col("action") == "crawl").alias("crawls"), F.count_if(F.col("action") == "update").alias("updates"))
+    """Seed packets of crawls and updates, dispatched by action."""
+    details, versions = catalogs.catalog_details(_catalog(spark, d)), index.current_versions(_index(spark, d))
+    packets = crawl.seeds(details, versions).unionByName(crawl.seeds(details, versions, "update", catalogs.latest_path(_resource(spark, d))))
+    parts = crawl.actions(packets)
+    tagged = parts["crawl"].select(F.lit("c").alias("k")).union(parts["update"].select(F.lit("u"))).union(parts["index"].select(F.lit("i")))
+    return tagged.agg(F.count_if(F.expr("k = 'c'")).alias("crawls"), F.count_if(F.expr("k = 'u'")).alias("updates"), F.count_if(F.expr("k = 'i'")).alias("others"))
+
+
+@query("SELECT id, catalog_id, version, url FROM crawler_resource WHERE catalog_id = 1001 ORDER BY id LIMIT 100 OFFSET 100")
+def t5_resource_page(spark, d):
+    """Second page of a hundred of one catalog's resources, in a total order."""
+    rows = _resource(spark, d).filter("catalog_id = 1001").select("id", "catalog_id", "version", "url").orderBy("id")
+    return catalogs.page(rows, 2, 100)
 
 
 @query("SELECT count(*) AS packets, CAST(0 AS BIGINT) AS split_paths FROM crawler_resource r JOIN crawler_catalog c ON c.id = r.catalog_id")
@@ -789,7 +869,7 @@ def t1_listing_order(spark, d):
 WHERE d.version >= 0 AND d.cat = 'travel' ORDER BY t.s + coalesce(c.s, 0) DESC, d.id LIMIT 10""")
 def f6_search_entry(spark, d):
     """First page of a search within a category."""
-    return search.top(search.scored(_docs(spark, d), "harbour bridge", -1, "travel"), 1, 10).select("id", F.round("score", 6).alias("score"))
+    return search.top(search.scored(_docs(spark, d), "harbour bridge", -1, "travel", _postings(spark, d)), 1, 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query(_CREATED_SQL.format(v="i.version") + " AND r.id = (SELECT max(id) FROM crawler_resource)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -38,14 +40,19 @@ def factory_of(name: str) -> Callable[[], Fetcher]:
     return _REGISTRY[key]
 
 
-def _plain() -> Fetcher:
-    from urllib.request import urlopen
+#: Headers of a plain request. Agents and addresses are not made up.
+HEADERS = {"Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Accept-Language": "en,*;q=0.5"}
+TIMEOUT_S = 300.0
+
+
+def _plain(headers: dict[str, str] | None = None, timeout_s: float = TIMEOUT_S) -> Fetcher:
+    from urllib.request import Request, urlopen
 
     def fetch(url: str, charset: str) -> str:
-        with urlopen(url, timeout=300) as answer:  # noqa: S310
+        with urlopen(Request(url, headers={**HEADERS, **(headers or {})}), timeout=timeout_s) as answer:  # noqa: S310
             if not 200 <= answer.status < 300:
                 raise FetchError(url, answer.status)
-            return answer.read().decode(charset, "replace")
+            return decode(answer.read(), charset)
 
     return fetch
 
@@ -75,16 +82,25 @@ class Retrying:
 
 @dataclass
 class Paced:
-    """A pause before each fetch."""
+    """A pause before each fetch: of a fixed length, or (`least_ms`) of a random one between two."""
 
     inner: Fetcher
     interval_ms: int = 1000
+    least_ms: int | None = None
+    sleep: Callable[[float], None] = time.sleep
 
     def __call__(self, url: str, charset: str) -> str:
-        time.sleep(self.interval_ms / 1000)
+        ms = self.interval_ms if self.least_ms is None else random.uniform(min(self.least_ms, self.interval_ms), self.interval_ms)
+        self.sleep(ms / 1000)
         return self.inner(url, charset)
 
 
+def for_policy(extractor: str, max_retry_count: int = 0, interval_ms: int = 1000, pause_s: float = 1.0) -> Callable[[], Fetcher]:
+    """Factory for a catalog's fetcher: the extractor of that name, tried again as often as allowed, each try after the catalog's pause."""
+    inner = factory_of(extractor)
+    return lambda: Retrying(Paced(inner(), interval_ms), max(1, max_retry_count), pause_s)
+
+
 def live_fetch(factory: Callable[[], Fetcher], charset: str = "UTF-8") -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A fetch step for `crawl` that calls a fetcher in every task; a failure is an empty page."""
 
@@ -106,22 +122,37 @@ def live_fetch(factory: Callable[[], Fetcher], charset: str = "UTF-8") -> Callab
     return step
 
 
+def charset_of(name: str | None) -> str:
+    """The codec of a charset name however it is spelt; UTF-8 where it is null, blank or unknown."""
+    try:
+        return codecs.lookup((name or "").strip() or "utf-8").name
+    except LookupError:
+        return "utf-8"
+
+
+def decode(raw: bytes, charset: str | None) -> str:
+    """Bytes as text in a charset; what it does not know becomes the replacement character."""
+    return raw.decode(charset_of(charset), "replace")
+
+
 def decoded_pages(files: DataFrame, charset_column: str = "page_encoding") -> DataFrame:
     """Binary pages (url, content, charset) as text in their charset; an unknown charset is read as UTF-8."""
 
     @F.pandas_udf("string")
-    def decode(content: pd.Series, charset: pd.Series) -> pd.Series:
-        def one(raw: bytes | None, name: str | None) -> str | None:
-            if raw is None:
-                return None
-            try:
-                return raw.decode((name or "utf-8").strip() or "utf-8", "replace")
-            except LookupError:
-                return raw.decode("utf-8", "replace")
+    def run(content: pd.Series, charset: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else decode(c, n) for c, n in zip(content, charset)], dtype=object)
+
+    return files.withColumn("html", run("content", charset_column))
+
+
+def encoded_pages(pages: DataFrame, charset_column: str = "page_encoding") -> DataFrame:
+    """The reverse: html as bytes (`content`) in the charset, characters it lacks as numeric entities."""
 
-        return pd.Series([one(c, n) for c, n in zip(content, charset)])
+    @F.pandas_udf("binary")
+    def run(text: pd.Series, charset: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t.encode(charset_of(n), "xmlcharrefreplace") for t, n in zip(text, charset)], dtype=object)
 
-    return files.withColumn("html", decode("content", charset_column))
+    return pages.withColumn("content", run("html", charset_column))
 
 
-__all__ = ["FetchError", "Paced", "Retrying", "decoded_pages", "factory_of", "fetched", "live_fetch", "register"]
+__all__ = ["FetchError", "Paced", "Retrying", "charset_of", "decode", "decoded_pages", "encoded_pages", "factory_of", "fetched", "for_policy", "live_fetch", "register"]

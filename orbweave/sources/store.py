@@ -60,6 +60,17 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/{name}/{gone}"), True)
         return self.read(name)
 
+    def append(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Add rows to the current generation as files of their own: nothing that is stored is read or written again."""
+        current = self._current(name)
+        if current is None:
+            return self.write(name, df, partition_by)
+        schema = SCHEMAS.get(name)
+        rows = df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in schema)) if schema else df
+        writer = rows.write.mode("append").option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/{current}")
+        return self.read(name)
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 

@@ -62,19 +62,47 @@ def budgeted(events: DataFrame, most: int, key: str = "catalog_id") -> DataFrame
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, used long, over boolean", "used long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its in-memory result (a table of this driver, for small results)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, checkpoint: str, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there and return its result from files in `folder`, whatever its size.
+
+    Appended rows are written as they come; of complete results the latest replaces the one before.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", folder).start()
+        query.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+    done: list[int] = []
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        done.append(number)
+
+    query = writer.foreachBatch(replace).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/batch-{max(done)}")
 
 
-def upsert_sink(stream: DataFrame, store, table: str, key: str, checkpoint: str):
-    """Stream rows into a stored table: new rows replace old ones of their key, batch by batch."""
+def upsert_sink(stream: DataFrame, store, table: str, key: str, checkpoint: str, order: str | None = None):
+    """Stream rows into a stored table: new rows replace old ones of their key, batch by batch.
+
+    Of a batch's rows with one key the one highest in `order` (by default in all its columns) is taken. A batch whose keys are all new is
+    appended; only one that replaces something rewrites the table.
+    """
     from orbweave.operators.index import upsert
 
     def write(batch: DataFrame, _number: int) -> None:
-        latest = batch.dropDuplicates([key])
-        store.write(table, upsert(store.read(table).select(*latest.columns), latest, (key,)))
+        rest = [c for c in batch.columns if c != key]
+        by = F.struct(order, *rest) if order else F.struct(*rest)
+        latest = batch.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("x")).select(key, "x.*").select(*batch.columns).persist()
+        old = store.read(table)
+        if old.join(latest.select(key), key, "left_semi").isEmpty():
+            store.append(table, latest)
+            latest.unpersist()
+            return
+        store.write(table, upsert(old.select(*latest.columns), latest, (key,)))
+        latest.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
