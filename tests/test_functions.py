@@ -9,9 +9,9 @@ from orbweave.operators.counters import elapsed_ms, elapsed_text
 from orbweave.operators.search import fragments, query_terms
 
 PATHS = [
-    ("https://**.tuniu.**/**", "https://sina.tuniu.com/a/b", True),
-    ("https://**.tuniu.**/**", "https://a.tuniu.com", True),
-    ("https://**.tuniu.**/**", "https://tuniu.com/x", False),
+    ("https://**.wayfarer.**/**", "https://one.wayfarer.com/a/b", True),
+    ("https://**.wayfarer.**/**", "https://a.wayfarer.com", True),
+    ("https://**.wayfarer.**/**", "https://wayfarer.com/x", False),
     ("/a/**/b", "/a/b", True),
     ("/a/**/b", "/a/x/y/b", True),
     ("/a/*", "/a/x/y", False),
