@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.blocks import CLASSED, CONTENT, EDGE, FRAME, HEADING, KIND, LOOSE_TEXT, TITLE, Lines, page_units
 from orbweave.llm.recurrence import by_site, recurring_items
 from orbweave.llm.residue_text import marks_in
-from orbweave.session import durable
+from orbweave.session import bounded_batches, durable
 
 #: The smallest subtree around a text is template if it is on 3 pages of its host or more and on this share of them, or
 #: on 2 and a tenth; a larger one if it is on 3 and on this share.
@@ -120,6 +120,7 @@ def page_arrays(rows: DataFrame, catalogs: DataFrame | None, residue: bool = Fal
 
     Hosts of catalogs meet the few pages without one after parsing, so html is neither shuffled nor read twice.
     """
+    bounded_batches(rows.sparkSession)
     host = host_of(F.col("url"))
     source = rows.filter("id is not null" + " and html is not null" * (not residue)).select(
         F.when(host.isNotNull(), F.xxhash64(host)).alias("host"), F.col("catalog_id").cast("bigint").alias("catalog_id"),
@@ -378,6 +379,7 @@ def main_texts(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
 
     It is cut at elements, so a page written on one line loses its template too.
     """
+    bounded_batches(rows.sparkSession)
     bodies = page_bodies(page_arrays(rows, catalogs)).filter("2 * content > all_chars").select(F.col("doc").alias("id"), "rest")
     bodies = bodies.groupBy("id").agg(F.first("rest").alias("rest"))
     pages = rows.select(F.col("id").cast("bigint").alias("id"), "html").filter("id is not null and html is not null")

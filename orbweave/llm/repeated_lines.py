@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.pagelines import visible_lines
 from orbweave.llm.recurrence import by_site, recurring_items
-from orbweave.session import durable
+from orbweave.session import bounded_batches, durable
 
 #: A text is repeated if it is on 4 pages of its site or more and on three tenths of them or more.
 LEAST_PAGES, SHARE_TENTHS = 4, 3
@@ -47,6 +47,7 @@ def site_lines(rows: DataFrame, site: str, doc: str, page: str, text: str) -> Da
 
     `page` becomes a hash; a document with null page is kept with page null and never counts as support.
     """
+    bounded_batches(rows.sparkSession)
     source = rows.select(
         F.col(site).cast("bigint").alias("site"),
         F.col(doc).cast("bigint").alias("doc"),
