@@ -51,10 +51,11 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that large pages do not fill a task's memory. A smaller setting of the session stays."""
+    units = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = re.match(r"-?\d+", spark.conf.get(name, "0") or "0")
-        if now is None or not 0 < int(now.group()) < most or not spark.conf.get(name).lstrip("-").isdigit():
+        now = re.fullmatch(r"(\d+)([kmg]?)b?", (spark.conf.get(name) or "").lower())
+        if now is None or not 0 < int(now[1]) * units[now[2]] <= most:
             spark.conf.set(name, str(most))
 
 

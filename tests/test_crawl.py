@@ -363,3 +363,15 @@ def test_tables_of_a_block_go_with_it(spark):
         assert durable(spark.range(3), "gone").count() == 3
         assert set(os.listdir(shared_folder(spark))) > before
     assert set(os.listdir(shared_folder(spark))) == before
+
+
+def test_batches_are_bounded(spark):
+    from orbweave.session import BATCH_BYTES, BATCH_ROWS, bounded_batches
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    for given, want in ((("0", "1g"), (str(BATCH_ROWS), str(BATCH_BYTES))), (("50", "4m"), ("50", "4m"))):
+        spark.conf.set(rows, given[0]), spark.conf.set(size, given[1])
+        bounded_batches(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == want
+    spark.conf.set(rows, before[0]), spark.conf.set(size, before[1])
