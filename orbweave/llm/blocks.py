@@ -52,7 +52,7 @@ _CONTENT = _HEADING | frozenset("li td th dt dd caption figcaption blockquote pr
 CACHED_CHARS, CACHED_LINE = 6_000_000, 4_000
 #: Element paths that are kept; emptied when full.
 CACHED_PATHS = 50_000
-_MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_MASK, _ODD, _MORE = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
 def hashed(*parts: str) -> int:
@@ -63,17 +63,7 @@ def hashed(*parts: str) -> int:
 def mixed(a: int, b: int) -> int:
     """64 hash bits of two numbers, in order."""
     x = (a * _ODD + b) & _MASK
-    x ^= x >> 29
-    return (x * 0xBF58476D1CE4E5B9) & _MASK
-
-
-class Label(NamedTuple):
-    """What an opening tag says."""
-
-    tag: str
-    hash: int
-    block: bool
-    classed: bool
+    return ((x ^ x >> 29) * _MORE) & _MASK
 
 
 class Run(NamedTuple):
@@ -111,17 +101,14 @@ class Lines:
                 self.held[line] = ops
         return ops
 
-    def path(self, parent: int, label: Label) -> int:
-        """The place of an element below another: a number for its chain of labels."""
-        step = (parent, label.hash)
-        place = self.steps.get(step)
-        if place is None:
-            above, bits = self.paths[parent]
-            bits &= EDGE | FRAME
-            bits |= EDGE * (label.tag in _EDGE) | FRAME * (label.tag in _FRAME) | HEADING * (label.tag in _HEADING)
-            bits |= CLASSED * label.classed | CONTENT * (label.tag in _CONTENT)
-            self.paths.append((mixed(above, label.hash), bits))
-            place = self.steps[step] = len(self.paths) - 1
+    def path(self, parent: int, tag: str, label: int, classed: bool) -> int:
+        """The place of an element below another, seen for the first time: a number for its chain of labels."""
+        above, bits = self.paths[parent]
+        bits &= EDGE | FRAME
+        bits |= EDGE * (tag in _EDGE) | FRAME * (tag in _FRAME) | HEADING * (tag in _HEADING)
+        bits |= CLASSED * classed | CONTENT * (tag in _CONTENT)
+        self.paths.append((mixed(above, label), bits))
+        place = self.steps[parent, label] = len(self.paths) - 1
         return place
 
     def fresh(self) -> None:
@@ -163,7 +150,7 @@ class Lines:
                     # a body's class tells the kind of page, not the template; numbers tell the page
                     attr = _ATTR.search(m.group(3)) if m.group(3) and tag != "body" and tag != "html" else None
                     name = f"{tag}.{re.sub(r'[0-9]+', '', attr.group(1))}" if attr else tag
-                    ops.append((_OPEN, Label(tag, hashed("l", name), True, attr is not None)))
+                    ops.append((_OPEN, tag, hashed("l", name), True, attr is not None, _CLOSES.get(tag, ())))
             elif tag == "hr":
                 flush()
                 ops.append((_RULE,))
@@ -171,14 +158,14 @@ class Lines:
                 flush()
             elif tag in _INLINE:
                 if m.group(1):
-                    if any(op[0] == _OPEN and op[1].tag == tag for op in ops):
+                    if any(op[0] == _OPEN and op[1] == tag for op in ops):
                         flush()
                         ops.append((_CLOSE, tag))
                 elif m.group(3) and not "".join(parts).strip():
                     attr = _ATTR.search(m.group(3))
                     if attr:  # an inline element with a class that opens a run of text is an element of its own
                         parts.clear()
-                        ops.append((_OPEN, Label(tag, hashed("l", f"{tag}.{attr.group(1)}"), False, True)))
+                        ops.append((_OPEN, tag, hashed("l", f"{tag}.{attr.group(1)}"), False, True, ()))
         if at < len(line):
             parts.append(line[at:])
         flush()
@@ -225,7 +212,7 @@ def page_units(html: str, lines: Lines) -> Page:
     unit_in: list[int] = []
     unit_head: list[int] = []
     head = -1
-    known = lines.held.get
+    known, steps = lines.held.get, lines.steps.get
     for number, line in enumerate(text.split("\n"), 1):
         if not line:
             continue
@@ -236,28 +223,28 @@ def page_units(html: str, lines: Lines) -> Page:
                 if tag in _HEADING and (not unit_in or unit_in[-1] != k):
                     head = len(unit_in)
                 run = op[1]
-                content[k] = mixed(content[k], run.hash)
+                x = (content[k] * _ODD + run.hash) & _MASK
+                content[k] = ((x ^ x >> 29) * _MORE) & _MASK
                 unit_line.append(number)
                 unit_run.append(run)
                 unit_in.append(k)
                 unit_head.append(head)
             elif code == _OPEN:
-                label = op[1]
-                closes = _CLOSES.get(label.tag)
-                if closes:
-                    while stack[-1][0] in closes:
-                        stack.pop()
+                _, tag, label, block, classed, closes = op
+                while stack[-1][0] in closes:
+                    stack.pop()
                 above = stack[-1][1]
-                if label.block:
+                if block:
                     inner[above] = True
                 k = len(place)
-                place.append(lines.path(place[above], label))
+                at = steps((place[above], label))
+                place.append(lines.path(place[above], tag, label, classed) if at is None else at)
                 parent.append(above)
-                tags.append(label.tag)
-                labels.append(label.hash)
+                tags.append(tag)
+                labels.append(label)
                 inner.append(False)
                 content.append(0)
-                stack.append((label.tag, k, head))
+                stack.append((tag, k, head))
             elif code == _CLOSE:
                 tag = op[1]
                 for at in range(len(stack) - 1, 0, -1):
@@ -280,79 +267,88 @@ def _hashed_page(html, lines, elements, unit_line, unit_run, unit_in, unit_head)
     place, parent, tags, labels, inner, content = elements
     count, n = len(place), len(unit_in)
     first, last = [n] * count, [-1] * count
-    chars_in = [0] * count
+    whole = [0] * count
+    chars = [len(run.text) for run in unit_run]
     for i, k in enumerate(unit_in):
         if i < first[k]:
             first[k] = i
         last[k] = i
-        chars_in[k] += len(unit_run[i].text)
-    subtree = list(content)
+        whole[k] += chars[i]
+    subtree = content
     rows_inner = [False] * count
     trees, starts, stops = [], [], []
-    total = sum(chars_in)
-    whole = chars_in[:]
+    half = sum(chars) / 2
     for k in range(count - 1, 0, -1):
-        h = subtree[k] = mixed(subtree[k], labels[k])
+        x = (subtree[k] * _ODD + labels[k]) & _MASK
+        x = subtree[k] = ((x ^ x >> 29) * _MORE) & _MASK
         up = parent[k]
-        if inner[k]:
-            rows_inner[up] = True
-        if last[k] >= 0:
-            subtree[up] = mixed(subtree[up] ^ 1, h)
-            if first[k] < first[up]:
-                first[up] = first[k]
-            if last[k] > last[up]:
-                last[up] = last[k]
+        end = last[k]
+        if end >= 0:
+            x = ((subtree[up] ^ 1) * _ODD + x) & _MASK
+            subtree[up] = ((x ^ x >> 29) * _MORE) & _MASK
+            begin = first[k]
+            if begin < first[up]:
+                first[up] = begin
+            if end > last[up]:
+                last[up] = end
             whole[up] += whole[k]
-    seen: set[tuple[int, int]] = set()
-    for k in range(count - 1, 0, -1):
-        # an inner subtree with several smallest ones; what is most of a page is the page itself, not its template
-        if inner[k] and last[k] > first[k] and 2 * whole[k] < total and (first[k], last[k]) not in seen:
-            seen.add((first[k], last[k]))
-            trees.append(subtree[k])
-            starts.append(first[k])
-            stops.append(last[k])
+            # an inner subtree with several smallest ones; what is most of a page is the page itself, not its template.
+            # Of elements around the same units the innermost stands for all.
+            if inner[k]:
+                rows_inner[up] = True
+                if end > begin and whole[k] < half and not (trees and starts[-1] == begin and stops[-1] == end):
+                    trees.append(subtree[k])
+                    starts.append(begin)
+                    stops.append(end)
+        elif inner[k]:
+            rows_inner[up] = True
     m = _TITLE.search(html[: html.find("<body")] if "<body" in html else html)
     names = set()
     if m:
         title = " ".join(unescape(m.group(1)).split())
-        names = {title, *SUFFIX.split(title)} - {""}
-    items, texts, flags, owners, strings = [], [], [], [], []
+        names = {title, *SUFFIX.split(title)} - {""} if title else names
+    items, texts, flags, owners, paths = [], [], [], [], []
     i = 0
     while i < n:
-        k = unit_in[i]
+        k = own = unit_in[i]
+        j = i + 1
+        tag = tags[k]
         if inner[k]:  # text between blocks: a subtree of its own
-            own, j = -1 - i, i + 1
-        else:
-            own, up = k, parent[k]
-            if tags[k] in _CELL and tags[up] == "tr" and not rows_inner[up]:
+            own = -1 - i
+        elif tag in _WHOLE:
+            while j < n and unit_in[j] == k:
+                j += 1
+        elif tag in _CELL:
+            up = parent[k]
+            if tags[up] == "tr" and not rows_inner[up]:
                 # a row of data: two cells with text or more, each on one line
                 cells = unit_in[first[up] : last[up] + 1]
                 if len(cells) > 1 and len(set(cells)) == len(cells):
                     own = up
-            j = i + 1
-            while j < n and (unit_in[j] == k and tags[k] in _WHOLE or (own != k and parent[unit_in[j]] == own)):
-                j += 1
+                    while j < n and parent[unit_in[j]] == own:
+                        j += 1
+        run = unit_run[i]
         if j == i + 1:
-            run = unit_run[i]
             text, kind, name = run.hash, run.kind, run.text
         else:
             name = "\n".join(unit_run[x].text for x in range(i, j))
-            text, kind = hashed(name), residue_kind(name, () if any(not r.marks or not r.marks[0].whole for r in unit_run[i:j]) else unit_run[i].marks)
-        titled = name.replace("\n", " ") in names
-        h = subtree[own] if own > 0 and (own != k or tags[k] in _HEADING) else mixed(text, 1) if titled else text
+            marks = () if any(not r.marks or not r.marks[0].whole for r in unit_run[i:j]) else run.marks
+            text, kind = hashed(name), residue_kind(name, marks)
+            name = name.replace("\n", " ")
+        titled = name in names
+        h = subtree[own] if own > 0 and (own != k or tag in _HEADING) else mixed(text, 1) if titled else text
         bits = kind << KIND | TITLE * titled
         for x in range(i, j):
             at = unit_in[x]
-            b = lines.paths[place[at]][1]
+            path, b = lines.paths[place[at]]
             if inner[at]:
                 b = b & ~(CLASSED | HEADING) | LOOSE_TEXT
             items.append(h)
             texts.append(text)
             flags.append(b | bits)
             owners.append(own)
-            strings.append(unit_run[x].text)
+            paths.append(path)
         i = j
-    paths = [lines.paths[place[k]][0] for k in unit_in]
     marks = [r.marks for r in unit_run]
     if any(marks):
         # code over several lines
@@ -362,5 +358,4 @@ def _hashed_page(html, lines, elements, unit_line, unit_run, unit_in, unit_head)
                 at = html.count("\n", 0, c.start()) + 1
                 hidden.update(range(at, at + c.group().count("\n") + 1))
         marks = [() if line in hidden else x for line, x in zip(unit_line, marks)]
-    chars = [len(r.text) for r in unit_run]
-    return Page(unit_line, items, texts, paths, flags, unit_head, chars, owners, strings, marks, names, trees, starts, stops)
+    return Page(unit_line, items, texts, paths, flags, unit_head, chars, owners, [r.text for r in unit_run], marks, names, trees, starts, stops)

@@ -36,7 +36,7 @@ _ARRAYS = (
     " trees array<bigint>, starts array<int>, stops array<int>"
 )
 _RESIDUE = (
-    "title string, shown boolean, marks array<struct<path: bigint, token: string, name: string, style: string, strong: boolean, whole: boolean, edge: boolean>>"
+    "title string, shown boolean, marks array<struct<token: string, name: string, style: string, strong: boolean, whole: boolean, edge: boolean>>"
 )
 _PAGES = f"host bigint, catalog_id bigint, doc bigint, page bigint, {_ARRAYS}"
 _REST = (
@@ -59,7 +59,7 @@ def _signed(x: int) -> int:
 
 def _unit_arrays(residue: bool):
     """(host, catalog_id, doc, page, title, html) to ten arrays over the page's units and inner subtrees, with `residue` also the
-    title, whether the page shows it, and the variables in title (path 0) and text."""
+    title, whether the page shows it, and the variables in title and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines()
@@ -81,19 +81,24 @@ def _unit_arrays(residue: bool):
                         titles.append(title or None)
                         lettered = any(map(str.isalnum, title))
                         shown.append(bool(title) and any(title in text if lettered else title == text for text in page.strings))
-                        found = [(0, x) for x in marks_in(title)]
-                        found += [(_signed(path), x) for path, own in zip(page.paths, page.marks) if own for x in own]
-                        marks.append([{"path": path, **x._asdict()} for path, x in found])
+                        # a variable counts once a record
+                        found: dict[str, dict] = {}
+                        for own in (marks_in(title), *page.marks):
+                            for x in own:
+                                held = found.setdefault(x.token, x._asdict())
+                                held["whole"] |= x.whole
+                                held["edge"] |= x.edge
+                        marks.append(list(found.values()))
                 # trees end in a 1 bit, the smallest subtrees do not
-                columns["items"] = [x & ~1 for x in columns["items"]]
-                columns["trees"] = [x | 1 for x in columns["trees"]]
+                columns["items"] = np.array(columns["items"], dtype=np.uint64) & ~np.uint64(1)
+                columns["trees"] = np.array(columns["trees"], dtype=np.uint64) | np.uint64(1)
                 wide = {"items", "texts", "paths", "trees"}
                 arrays = [
                     _lists(ends if name in names else tree_ends, columns[name], pa.int64() if name in wide else pa.int32()) for name in columns
                 ]
                 out = ["host", "catalog_id", "doc", "page", *columns]
                 if residue:
-                    kind = pa.list_(pa.struct([("path", pa.int64()), *((n, pa.string()) for n in ("token", "name", "style")), *((n, pa.bool_()) for n in ("strong", "whole", "edge"))]))
+                    kind = pa.list_(pa.struct([*((n, pa.string()) for n in ("token", "name", "style")), *((n, pa.bool_()) for n in ("strong", "whole", "edge"))]))
                     arrays += [pa.array(titles, pa.string()), pa.array(shown, pa.bool_()), pa.array(marks, kind)]
                     out += ["title", "shown", "marks"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], out)

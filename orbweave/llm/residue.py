@@ -23,15 +23,13 @@ def slot_variables(pages: DataFrame) -> DataFrame:
     are written, and not prose. A proven one counts at the begin or end of a slot's value, in marks of two
     signs or more anywhere; such marks count at begin and end unproven too. So a path or a set in a text about code does not.
     """
-    marks = pages.select("doc", F.explode("marks").alias("m")).select("doc", "m.*")
-    marks = durable(marks, "slot-marks")
-    whole = marks.filter("whole").select("token", "doc").distinct().groupBy("token").agg(F.count("*").alias("records"))
-    tokens = whole.filter(F.col("records") >= PROVEN_RECORDS).select("token", F.lit(True).alias("by_token"))
-    uses = marks.filter("whole or edge").groupBy("name", "style").agg(F.count_distinct("doc").alias("records"))
-    names = uses.groupBy("name").agg(F.count("*").alias("styles"), F.sum("records").alias("records"))
-    names = names.filter((F.col("styles") >= PROVEN_STYLES) & (F.col("records") >= NAME_RECORDS)).select("name", F.lit(True).alias("by_name"))
-    known = marks.join(tokens, "token", "left").join(names, "name", "left").withColumn("proven", F.coalesce("by_token", "by_name", F.lit(False)))
-    return known.filter("(whole or edge) and (proven or strong) or strong and proven").select("doc").distinct()
+    marks = durable(pages.filter("size(marks) > 0").select("doc", F.explode("marks").alias("m")).select("doc", "m.*"), "slot-marks")
+    uses = marks.groupBy("token", "name", "style").agg(F.count_if("whole").alias("wholes"), F.count_if(F.col("whole") | F.col("edge")).alias("uses"))
+    names = uses.filter("uses > 0").groupBy("name").agg(F.collect_set("style").alias("styles"), F.sum("uses").alias("named"))
+    names = names.select("name", ((F.size("styles") >= PROVEN_STYLES) & (F.col("named") >= NAME_RECORDS)).alias("by_name"))
+    proven = uses.join(names, "name", "left").filter((F.col("wholes") >= PROVEN_RECORDS) | F.coalesce("by_name", F.lit(False)))
+    known = marks.join(proven.select("token", F.lit(True).alias("proven")), "token", "left").withColumn("proven", F.coalesce("proven", F.lit(False)))
+    return known.filter("(whole or edge) and (proven or strong) or strong and proven").select("doc")
 
 
 def default_titles(pages: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def default_titles(pages: DataFrame) -> DataFrame:
     key = F.lower(F.regexp_extract("title", r"^(.*?)(?:\s+[-–—|:·]+\s+.*)?$", 1))
     unseen = pages.filter("title is not null and not shown").select("doc", "site", key.alias("key")).filter(F.col("key").rlike(r"[\p{L}\p{N}]"))
     common = unseen.select("key", "site").distinct().groupBy("key").agg(F.count("*").alias("sites")).filter(F.col("sites") >= DEFAULT_SITES).select("key")
-    return unseen.join(common, "key", "left_semi").select("doc").distinct()
+    return unseen.join(common, "key", "left_semi").select("doc")
 
 
 def template_residue(rows: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
