@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.main_body import page_arrays, page_bodies
-from orbweave.session import durable
 
 #: Sites on which a title has to recur, on pages that do not show it, to count as a default.
 DEFAULT_SITES = 3
@@ -23,7 +22,7 @@ def slot_variables(pages: DataFrame) -> DataFrame:
     are written, and not prose. A proven one counts at the begin or end of a slot's value, in marks of two
     signs or more anywhere; such marks count at begin and end unproven too. So a path or a set in a text about code does not.
     """
-    marks = durable(pages.filter("size(marks) > 0").select("doc", F.explode("marks").alias("m")).select("doc", "m.*"), "slot-marks")
+    marks = pages.filter("size(marks) > 0").select("doc", F.explode("marks").alias("m")).select("doc", "m.*")
     uses = marks.groupBy("token", "name", "style").agg(F.count_if("whole").alias("wholes"), F.count_if(F.col("whole") | F.col("edge")).alias("uses"))
     names = uses.filter("uses > 0").groupBy("name").agg(F.collect_set("style").alias("styles"), F.sum("uses").alias("named"))
     names = names.select("name", ((F.size("styles") >= PROVEN_STYLES) & (F.col("named") >= NAME_RECORDS)).alias("by_name"))
