@@ -4,7 +4,7 @@ Pages come as one row with an array of item hashes. A first pass counts rows per
 map-side combine; as an item's rows are at least its distinct pages, that prunes without loss. What is
 left per site is bounded by page length and not by the number of pages: the counts of a site's items add
 up to at most its pages times items a page, so at most (items a page) / (share) of them can recur. Exact
-distinct counts then run over bit masks of those few items, OR-ed per page.
+distinct counts then run over those few items only.
 """
 
 from __future__ import annotations
@@ -54,24 +54,15 @@ def recurring_items(pages: DataFrame, least: int, share: float | None = None, co
         .groupBy("site")
         .agg(F.sort_array(F.collect_list("item")).alias("candidates"), F.first("n").alias("n"))
     )
-    # one mask word per 63 candidates; a word's bits are OR-ed over all rows of a page before counting
-    position = F.transform(
-        F.array_intersect("items", "candidates"), lambda h: (F.array_position("candidates", h) - 1).cast("int")
-    )
-    words = (
+    # of the few items left every (page, item) counts once, whatever the rows of the page
+    found = (
         by_site(pages, candidates.select("site", "candidates"))
-        .select("site", "page", F.explode(position).alias("at"))
-        .groupBy("site", "page", F.expr("at div 63").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 63 as int))")).alias("bits"))
-    )
-    counted = (
-        words.select("site", "word", F.explode(F.expr("filter(sequence(0, 62), i -> (shiftright(bits, i) & 1L) = 1L)")).alias("bit"))
-        .groupBy("site", "word", "bit")
+        .select("site", "page", F.explode(F.array_intersect("items", "candidates")).alias("item"))
+        .distinct()
+        .groupBy("site", "item")
         .agg(F.count("*").alias("c"))
     )
-    named = counted.join(candidates, "site").select(
-        "site", F.expr("element_at(candidates, cast(word * 63 + bit + 1 as int))").alias("item"), "c", "n"
-    )
+    named = by_site(found, sizes, key="item")
     return (
         named.filter((F.col("c") >= least) & condition)
         .groupBy("site")
