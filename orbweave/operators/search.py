@@ -84,7 +84,7 @@ def inverted(docs: DataFrame, fields: tuple[str, ...] = ("title", "content"), ke
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.withColumn("bucket", term_bucket(F.col("term")))
+    return whole.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket")
 
 
 def bm25_of_postings(postings: DataFrame, field: str, terms: list[str], key: str = "id") -> DataFrame:
