@@ -130,3 +130,25 @@ def test_a_hot_site_read_wrongly_is_not_learned_as_clean(spark, written, read, l
     df = spark.createDataFrame(rows, SCHEMA + ", catalog_id bigint")
     got = {(x.id, x.field_name) for x in M.garbled_fields(df).collect()}
     assert got == {(5000 + i, f) for i in range(300) for f in ("title", "html")}
+
+
+def test_every_clean_field_is_counted_and_every_word_tried(spark):
+    """No part of the fields is kept from the counts, and no sample of words stands for the others."""
+    r = random.Random(7)
+    own = ["".join(r.choice("abcdelmnoprstu") for _ in range(7)) + "é" for _ in range(900)]
+    rows = [(i, f"{w} été plain", f"<p>{w} forêt</p>") for i, w in enumerate(own)]
+    trained = M.train(spark.createDataFrame(rows, SCHEMA), {"title": False, "html": True})
+    tokens = [t for _, title, html in rows for field in (title, html) for t in M._tokens(field)]
+    assert trained.model.total == sum(len(M._buckets(M._codes(f" {t} "))) for t in tokens)
+    assert {x.word for x in trained.words.collect()} == {*own, "été", "forêt"}
+    rates = {x.chain: x for x in M.chain_rates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert rates["clean"].words == trained.words.count() >= 902
+
+
+def test_the_margin_has_the_fewest_wrong_decisions():
+    grid = M._grid()
+    r = np.random.default_rng(2)
+    clean, garbled = r.normal(1.0, 0.8, 4000), r.normal(4.5, 1.0, 3000)
+    cells = [np.bincount(np.searchsorted(grid, x, side="right"), minlength=len(grid) + 1) for x in (clean, garbled)]
+    wrong = [np.mean(clean >= m) + np.mean(garbled < m) for m in grid]
+    assert wrong[int(np.argmin(abs(grid - M.fit_margin(*cells))))] == pytest.approx(min(wrong))
