@@ -290,7 +290,8 @@ def pack(
     ranked = (
         items.withColumn("bucket", bucket)
         .withColumn("at", F.row_number().over(inside) - 1)
-        .join(offsets.drop("n"), ["spec_id", "tokens", "bucket"])
+        # offsets grow with the records, and their small files would pass for a table that can be broadcast from the driver
+        .join(offsets.drop("n").hint("merge"), ["spec_id", "tokens", "bucket"])
         .select("spec_id", "doc", "part", "tokens", (F.col("at") + F.col("offset")).alias("rank"))
     )
     tables, totals = {}, {}

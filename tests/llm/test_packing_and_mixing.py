@@ -113,6 +113,13 @@ def test_packing_edges(spark):
     assert sorted((x.doc_id, x.tokens, x.container) for x in blanks) == [(1, 0, 0), (2, 0, 0)]
 
 
+def test_nothing_that_grows_with_the_records_is_broadcast(spark):
+    df = spark.createDataFrame([(i, "word " * (i % 50), "s") for i in range(500)], DOCS)
+    packed = pack(df, spark.createDataFrame([(1, 64, None), (2, 30, None)], SPECS))
+    assert len({(x.spec_id, x.doc_id) for x in packed.collect()}) == 1000
+    assert "Broadcast" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_transfer_keeps_size_and_makes_one_whole():
     r = random.Random(2)
     ends = []
